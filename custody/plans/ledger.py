@@ -73,8 +73,11 @@ class Ledger:
             self.store.snapshot("drives"), self.store.log("events"), run_ts, past, mode, version
         )
         rows, seen = bronze.observed(rows, "decisions")
-        kept = past if mode == "frozen" else past.filter(F.col("rule_version") != version)
-        self.store.replace("decisions", kept.unionByName(rows))
+        if mode == "frozen":
+            self.store.extend("decisions", rows)
+        else:
+            others = past.filter(F.col("rule_version") != version)
+            self.store.replace("decisions", others.unionByName(rows))
         return {"decisions": seen.get["rows"]}
 
     def run(self, run_ts: datetime, mode: str = "frozen") -> dict[str, int]:

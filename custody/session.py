@@ -17,6 +17,9 @@ REQUIRED_CONF = {
 }
 
 
+_local_base: str | None = None
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings on an existing session."""
     for key, value in REQUIRED_CONF.items():
@@ -28,10 +31,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's checkpoint folder.
 
     Only where the cluster names none (tests, laptops) a local temporary folder
-    is used and set as the session's checkpoint folder.
+    is used.
     """
+    global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="custody-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if _local_base is None:
+            _local_base = tempfile.mkdtemp(prefix="custody-")
+        base = _local_base
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -76,6 +76,15 @@ class TableStore:
         rows.select(*columns).write.mode("overwrite").parquet(path)
         return self._read(name, path)
 
+    def extend(self, name: str, rows: DataFrame) -> None:
+        """Add rows to the current version; only new files are written."""
+        versions = self._versions(name)
+        if not versions:
+            self.replace(name, rows)
+            return
+        columns = self.spark.createDataFrame([], self.schemas[name]).columns
+        rows.select(*columns).write.mode("append").parquet(f"{self._path(name)}/v={versions[-1]}")
+
     def stage(self, name: str, rows: DataFrame) -> DataFrame:
         """Write an intermediate result of one run and read it back: cuts lineage."""
         path = f"{self.root}/_work/{name}"

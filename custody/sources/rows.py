@@ -56,9 +56,12 @@ def csv_rows(spark: SparkSession, path: str, source: str, multiline: bool | None
         .csv(path)
     )
     numbered = with_row_numbers(scan.select("*", *scan_position()), FIRST_DATA_ROW)
-    cells = F.when(F.col("__bad").isNull(), F.lit(len(names))).otherwise(
-        F.size(F.regexp_extract_all(F.col("__bad"), F.lit(_TOKEN), F.lit(1)))
-    )
+    # The line text falls back on the fields, so that Spark never prunes them: a
+    # pruned read could not tell a ragged row.
+    line = F.coalesce(F.col("__bad"), F.concat_ws(",", *fields))
+    cells = F.when(
+        F.col("__bad").isNotNull(), F.size(F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(1)))
+    ).otherwise(len(names))
     numbered = numbered.withColumn("__cells", cells)
     # A repeated header name keeps its last column, as a keyed row would.
     last = {n: i for i, n in enumerate(names)}
@@ -79,7 +82,7 @@ def csv_rows(spark: SparkSession, path: str, source: str, multiline: bool | None
     return RowLoad(
         rows=numbered.filter(~too_long).select(*placed, payload.alias("payload")),
         rejected=numbered.filter(too_long).select(
-            *placed, F.col("__bad").alias("raw_line"), F.lit("more cells than headers").alias("error")
+            *placed, line.alias("raw_line"), F.lit("more cells than headers").alias("error")
         ),
     )
 
