@@ -16,7 +16,7 @@ MISSING = "—"
 
 def fixed(x: Column, digits: int) -> Column:
     """Number text with a fixed count of decimals (``printf`` would round half-up)."""
-    return F.format_number(x, "0" if digits == 0 else "0." + "0" * digits)
+    return F.call_function("format_number", x, F.lit("0" if digits == 0 else "0." + "0" * digits))
 
 
 def _ladder(x: Column, units: list[str], first_is_integer: bool) -> Column:

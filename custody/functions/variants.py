@@ -37,21 +37,29 @@ def items_at(doc: Column | str, path: str) -> Column:
     )
 
 
-def kind(v: Column) -> Column:
-    """Leading word of the value's schema: OBJECT, ARRAY, STRING, BIGINT, ..."""
-    return F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1)
+def is_object(v: Column) -> Column:
+    """A cast to a struct succeeds for objects only and does not visit their members."""
+    return F.try_variant_get(v, "$", "struct<x:variant>").isNotNull()
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+# The checks below are meant for leaves: the schema of a large document is costly.
+def is_integer(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "BIGINT", F.lit(False))
+
+
+def is_boolean(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "BOOLEAN", F.lit(False))
 
 
 def is_number(v: Column) -> Column:
-    return F.coalesce(kind(v).isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "BOOLEAN"), F.lit(False))
+    kind = F.schema_of_variant(v)
+    return F.coalesce(
+        kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL"), F.lit(False)
+    )
 
 
 def is_string(v: Column) -> Column:
-    return F.coalesce(kind(v) == "STRING", F.lit(False))
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
 
 def truthy(v: Column) -> Column:

@@ -44,7 +44,7 @@ def whole(v: Column) -> Column:
     """A JSON number cut to an integer; texts and absent values give NULL."""
     exact = F.try_variant_get(v, "$", "bigint")
     cut = F.try_variant_get(v, "$", "double").cast("bigint")
-    return F.when(V.kind(v) == "BIGINT", exact).when(V.is_number(v), cut)
+    return F.when(V.is_integer(v), exact).when(V.is_number(v), cut)
 
 
 def whole_or_digits(v: Column) -> Column:
