@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from custody.functions.text import as_col
+from custody.functions.variants import parse_document
 
 KEY_SEPARATOR = "\u0001"
 
@@ -42,7 +43,12 @@ def bundle_hash(raw: Column | str, mode: str = "canonical") -> Column:
         return F.sha2(as_col(raw), 256)
     if mode != "canonical":
         raise ValueError(f"unknown hash mode {mode!r}")
-    return F.sha2(F.to_json(F.try_parse_json(as_col(raw))), 256)
+    return document_hash(parse_document(raw))
+
+
+def document_hash(bundle: Column | str) -> Column:
+    """Canonical hash of an already parsed document."""
+    return F.sha2(F.to_json(as_col(bundle)), 256)
 
 
 def key_hash(*cols: Column | str) -> Column:

@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from custody.functions.text import as_col
 
 
+_END = "end of document"
+
+
+def parse_document(raw: Column | str) -> Column:
+    """VARIANT of a JSON text, NULL for anything else.
+
+    ``try_parse_json`` stops after the first value and would accept trailing
+    text. Parsing the text as the first element of a two-element list shows
+    whether it ends where the value ends.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), as_col(raw), F.lit(f',"{_END}"]')))
+    complete = F.try_variant_get(pair, "$[1]", "string") == _END
+    return F.when(complete, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def member(doc: Column | str, path: str) -> Column:
     """Sub-document at a path. Present-but-null is a VARIANT null, absent is NULL."""
     return F.try_variant_get(as_col(doc), path, "variant")

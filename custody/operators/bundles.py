@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custody.functions import variants as V
-from custody.functions.hashing import bundle_hash
+from custody.functions.hashing import bundle_hash, document_hash
 from custody.functions.serials import tracker_serial
 from custody.functions.text import as_col, non_blank, or_blank, strip
 from custody.functions.times import parse_iso
@@ -27,7 +27,7 @@ CONTRACT_ERRORS = [
 
 def parsed(documents: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``bundle`` (VARIANT, NULL for broken JSON)."""
-    return documents.withColumn("bundle", F.try_parse_json(F.col(raw)))
+    return documents.withColumn("bundle", V.parse_document(raw))
 
 
 def contract_error(
@@ -164,8 +164,9 @@ def card(documents: DataFrame) -> DataFrame:
 
 def scan_drives(facts: DataFrame, order: list[str]) -> DataFrame:
     """Latest facts per (asset, disk serial); within a scan the later disk wins."""
+    # Outer form: an inferred size filter would be pushed below the flattening.
     rows = facts.select(
-        "asset_tag", *order, F.posexplode("disks").alias("__pos", "d")
+        "asset_tag", *order, F.posexplode_outer("disks").alias("__pos", "d")
     ).filter(strip(F.col("d.serial")) != "")
     return (
         rows.groupBy("asset_tag", F.col("d.serial").alias("serial"))
@@ -232,7 +233,8 @@ def classify(
         F.when(~V.is_object(F.col("bundle")), F.lit("not_an_object")),
         F.when(tag_mismatch("asset_tag", strict=bulk), F.lit("asset_mismatch")),
     ]
-    docs = docs.withColumns({"bundle_hash": bundle_hash("raw", hash_mode), "error": F.coalesce(*checks)})
+    identity = document_hash("bundle") if hash_mode == "canonical" else bundle_hash("raw", hash_mode)
+    docs = docs.withColumns({"bundle_hash": identity, "error": F.coalesce(*checks)})
     key = ["asset_tag", "bundle_hash"]
     good = docs.filter(F.col("error").isNull()).select(*key, "file_name")
     # Keys only: winners per content, then those not stored yet.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results (zone, duplicate JSON keys) or plans (AQE).
 REQUIRED_CONF = {
@@ -17,6 +17,10 @@ REQUIRED_CONF = {
 }
 
 
+# To be given when a session is built: recording a Python stack per column call
+# makes large expressions slow to build.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 _local_base: str | None = None
 
 
@@ -40,3 +44,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             _local_base = tempfile.mkdtemp(prefix="custody-")
         base = _local_base
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly per-row work on an input of few splits.
+
+    Meant for narrow rows that are about to grow (documents built or parsed). An
+    input with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

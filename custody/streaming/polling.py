@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from custody.operators import merge
 from custody.plans.ledger import Ledger
+from custody.sinks.snapshots import TableStore
 
 # Fixed value: the default pull interval.
 POLL_INTERVAL = "15 minutes"
@@ -48,13 +50,34 @@ def poll(
     return writer.start()
 
 
+SIDE_COUNTS = "serial_norm STRING, removed_count BIGINT, shredded_count BIGINT"
+
+
 def side_counts(events: DataFrame) -> DataFrame:
-    """Continuous counts per drive from an event stream (update mode).
+    """Running counts per drive of an event stream.
 
-    Built-in stateful aggregation keeps two counters per drive; it needs no
-    custom state and combines inside each task first.
+    Built-in stateful aggregation keeps two counters per drive; it combines inside
+    each task first, so a drive with a huge history is no hot spot.
     """
     return events.groupBy("serial_norm").agg(
         F.count_if(F.col("event_type") == "REMOVED").alias("removed_count"),
         F.count_if(F.col("event_type") == "SHREDDED").alias("shredded_count"),
     )
+
+
+def keep_side_counts(events: DataFrame, store: TableStore, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Continuous counterpart of the pairing step: only changed drives are upserted."""
+    policies = {c: merge.replace for c in ["removed_count", "shredded_count"]}
+
+    def handle(changed: DataFrame, batch_id: int) -> None:
+        now_ = merge.upsert(
+            store.snapshot("side_counts"), changed, ["serial_norm"], policies, small_changes=True
+        )
+        store.replace("side_counts", now_)
+
+    writer = (
+        side_counts(events).writeStream.outputMode("update").foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+    )
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL_INTERVAL)
+    return writer.start()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custody.session import spread
+
 SCHEMA_ID = "intake.scan_bundle.v1"
 
 _K = "o_orderkey"
@@ -168,14 +170,18 @@ BUNDLE = _obj(
 )
 
 
+def machines(t) -> DataFrame:
+    return spread(t.orders.select(_K, "o_custkey", "o_orderdate"))
+
+
 def trees(t) -> DataFrame:
     """(scan_id, tree) per order."""
-    return t.orders.select(F.col(_K).alias("scan_id"), F.try_parse_json(F.expr(TREE)).alias("tree"))
+    return machines(t).select(F.col(_K).alias("scan_id"), F.try_parse_json(F.expr(TREE)).alias("tree"))
 
 
 def documents(t) -> DataFrame:
     """(scan_id, asset_tag, file_name, raw) per order; the asset is the customer."""
-    return t.orders.select(
+    return machines(t).select(
         F.col(_K).alias("scan_id"),
         F.concat(F.lit("A"), F.col("o_custkey").cast("string")).alias("asset_tag"),
         F.concat(F.col(_K).cast("string"), F.lit(".json")).alias("file_name"),
