@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from custody.functions.text import as_col
+from custody.functions.text import as_col, has_non_ascii
 from custody.functions.variants import parse_document
 
 KEY_SEPARATOR = "\u0001"
@@ -16,11 +16,11 @@ def escape_non_ascii(text: Column) -> Column:
     units = F.transform(
         F.split(text, ""),
         lambda ch: F.when(
-            ch.rlike("[^\\x00-\\x7F]"),
+            has_non_ascii(ch),
             F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", "\\\\u$1"),
         ).otherwise(ch),
     )
-    return F.when(text.rlike("[^\\x00-\\x7F]"), F.array_join(units, "")).otherwise(text)
+    return F.when(has_non_ascii(text), F.array_join(units, "")).otherwise(text)
 
 
 def payload_json(payload: Column | str) -> Column:

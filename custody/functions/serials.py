@@ -11,6 +11,7 @@ from custody.functions.text import (
     CONTROL_CHARS,
     WHITESPACE,
     as_col,
+    has_non_ascii,
     non_blank,
     or_blank,
     strip,
@@ -25,6 +26,8 @@ MIN_SERIAL_LENGTH = 6
 SYNTHETIC_PREFIX = "NOSERIAL-"
 TRAILING_PUNCTUATION = ".,;:"
 
+_BLANKS = "".join(ch for ch in WHITESPACE if ch not in CONTROL_CHARS)
+
 
 def ledger_serial(raw: Column | str) -> Column:
     """Ledger form: strip, upper-case, drop trailing punctuation and blanks."""
@@ -46,10 +49,11 @@ def tracker_serial(raw: Column | str, fold_unicode: bool = True) -> Column:
     """
     c = as_col(raw)
     if fold_unicode:
-        foreign = c.rlike("[^\\x00-\\x7F]")
+        foreign = has_non_ascii(c)
         c = F.when(foreign, _fold_compat(F.when(foreign, c))).otherwise(c)
-    c = F.translate(c, CONTROL_CHARS, "")
-    c = F.regexp_replace(strip(c), "(?U)\\s+", " ")
+    # One pass turns every kind of blank into a space and deletes the controls.
+    c = F.trim(F.translate(c, _BLANKS + CONTROL_CHARS, " " * len(_BLANKS)))
+    c = F.when(c.contains("  "), F.regexp_replace(c, " {2,}", " ")).otherwise(c)
     return or_blank(F.upper(c))
 
 

@@ -23,6 +23,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def has_non_ascii(c: Column | str) -> Column:
+    """More bytes than characters: cheaper than a pattern."""
+    return F.octet_length(as_col(c)) > F.char_length(as_col(c))
+
+
 def non_blank(c: Column | str) -> Column:
     """NULL for an empty string, the text otherwise."""
     return F.nullif(as_col(c), F.lit(""))

@@ -20,6 +20,7 @@ TABLES = {
     "events": schemas.DRIVE_EVENT,
     "decisions": schemas.DECISION,
 }
+MAX_PRUNED_SHEETS = 1000
 PARTITIONS = {"bronze": ["source_sheet_id"], "events": ["event_type"]}
 
 
@@ -36,11 +37,22 @@ class Ledger:
     def ingest(self, rows: DataFrame, run_ts: datetime) -> dict[str, int]:
         """Append rows of (source_sheet_id, source_tab, row_number, payload) not stored yet."""
         incoming, total = bronze.observed(bronze.to_bronze(rows, run_ts), "incoming")
-        fresh, inserted = bronze.observed(bronze.append_new(incoming, self.bronze()), "inserted")
+        stored = self._stored_for(rows)
+        fresh, inserted = bronze.observed(bronze.append_new(incoming, stored), "inserted")
         self.store.append("bronze", fresh)
         done = inserted.get["rows"]
         return {"inserted": done, "duplicates": total.get["rows"] - done}
 
+    def _stored_for(self, rows: DataFrame) -> DataFrame:
+        """Stored raw rows that can repeat the incoming ones: those of the same sheets.
+
+        The sheet ids of a load are few; up to a fixed number of them is used to
+        prune the table's partitions, beyond it the whole table is compared.
+        """
+        ids = [r[0] for r in rows.select("source_sheet_id").distinct().limit(MAX_PRUNED_SHEETS + 1).collect()]
+        stored = self.bronze()
+        return stored if len(ids) > MAX_PRUNED_SHEETS else stored.filter(F.col("source_sheet_id").isin(ids))
+
     def stage(self, run_ts: datetime, routes: dict[str, list[str]] | None = None) -> dict[str, int]:
         counts = {}
         for table, route, fn in [

@@ -17,7 +17,9 @@ def scan_position() -> list:
     ]
 
 
-def with_row_numbers(rows: DataFrame, start: int = 1, name: str = "row_number") -> DataFrame:
+def with_row_numbers(
+    rows: DataFrame, start: int = 1, name: str = "row_number", keep_position: bool = False
+) -> DataFrame:
     """Number the rows of every file from ``start`` in file order.
 
     A scan reads each file block in one go, so within a block the generated ids
@@ -31,8 +33,9 @@ def with_row_numbers(rows: DataFrame, start: int = 1, name: str = "row_number")
         FILE, BLOCK,
         (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + start).alias("__shift"),
     )
-    return (
+    numbered = (
         rows.join(shifts, [FILE, BLOCK])
         .withColumn(name, F.col(POS) + F.col("__shift"))
-        .drop(FILE, BLOCK, POS, "__shift")
+        .drop(POS, "__shift")
     )
+    return numbered if keep_position else numbered.drop(FILE, BLOCK)

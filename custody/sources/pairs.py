@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from custody.functions.text import strip
-from custody.sources.ordinals import scan_position, with_row_numbers
+from custody.sources.ordinals import BLOCK, FILE, scan_position, with_row_numbers
 
 # Fixed value: how much of a file decides its delimiter.
 SNIFF_CHARS = 4096
@@ -30,18 +30,18 @@ def _delimiters(lines: DataFrame) -> DataFrame:
     head = lines.filter(F.col("row_index") <= SNIFF_CHARS)
     before = F.coalesce(
         F.sum(F.length("value") + 1).over(
-            Window.partitionBy("source").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
+            Window.partitionBy(FILE).orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
         ),
         F.lit(0),
     )
     sample = head.select(
-        "source", F.left("value", F.greatest(F.lit(SNIFF_CHARS) - before, F.lit(0))).alias("s")
+        FILE, F.left("value", F.greatest(F.lit(SNIFF_CHARS) - before, F.lit(0))).alias("s")
     )
 
     def count(ch: str) -> Column:
         return F.sum(F.length("s") - F.length(F.translate("s", ch, "")))
 
-    return sample.groupBy("source").agg(
+    return sample.groupBy(FILE).agg(
         F.when(count("\t") > count(","), F.lit("\t")).otherwise(F.lit(",")).alias("delimiter")
     )
 
@@ -53,18 +53,20 @@ def file_pairs(spark: SparkSession, path: str, skip_header: bool = False) -> Dat
     """
     scan = spark.read.text(path)
     lines = with_row_numbers(
-        scan.select("value", F.col("_metadata.file_path").alias("source"), *scan_position()),
-        1, "row_index",
+        scan.select("value", *scan_position()), 1, "row_index", keep_position=True
     )
     lines = lines.withColumn(
         "value",
         F.when(F.col("row_index") == 1, F.ltrim(F.col("value"), F.lit("\ufeff"))).otherwise(F.col("value")),
     )
-    joined = lines.filter("value <> ''").join(_delimiters(lines), "source")
+    # Brought to the lines block by block, so that one huge file is no hot key.
+    per_block = lines.select(FILE, BLOCK).distinct().join(_delimiters(lines), FILE)
+    joined = lines.filter("value <> ''").join(per_block, [FILE, BLOCK])
     if skip_header:
         joined = joined.filter("row_index > 1")
     return joined.withColumn("cells", _row(F.col("value"), F.col("delimiter"))).select(
-        "source", "row_index",
+        F.col(FILE).alias("source"),
+        "row_index",
         F.col("value").alias("raw_line"),
         F.coalesce("cells.c", F.lit("")).alias("computer_serial"),
         F.coalesce("cells.d", F.lit("")).alias("drive_serial"),

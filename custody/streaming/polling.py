@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from custody.operators import merge
 from custody.plans.ledger import Ledger
@@ -50,6 +51,17 @@ def poll(
     return writer.start()
 
 
+def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Parquet stream of a table folder, or of one file (a stream source wants its folder)."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if fs.getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", target.getName()).parquet(target.getParent().toString())
+
+
 SIDE_COUNTS = "serial_norm STRING, removed_count BIGINT, shredded_count BIGINT"
 
 

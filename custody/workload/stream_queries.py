@@ -17,7 +17,7 @@ from custody.workload.registry import query, sql_ts, ts_text
 
 def streamed(t):
     """The events table as a file stream, drained once."""
-    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet")
+    source = polling.file_stream(t.spark, f"{t.folder}/events.parquet", t.events.schema)
     return SimpleNamespace(events=source, spark=t.spark)
 
 
