@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custody.functions.serials import tracker_serial
-from custody.functions.text import append_note, non_blank, or_blank
+from custody.functions.text import append_note
 from custody.operators import merge
 from custody.operators.bronze import at
 
@@ -68,14 +68,19 @@ def import_statistics(pairs: DataFrame, counted: DataFrame, links_before: DataFr
     rows = pairs.agg(
         F.count(F.lit(1)).alias("total_rows"), F.count_if("is_error").alias("error_rows")
     )
-    # Two one-row results side by side.
-    one = F.lit(1).alias("__one")
-    return (
-        rows.select("*", one).join(by_pair.select("*", one), "__one").drop("__one")
-        .select("total_rows", "imported_rows", "duplicate_rows", "error_rows")
+    return side_by_side(rows, by_pair).select(
+        "total_rows", "imported_rows", "duplicate_rows", "error_rows"
     )
 
 
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """One-row results with different columns as one row, without a cross join."""
+    stacked = one_row[0]
+    for more in one_row[1:]:
+        stacked = stacked.unionByName(more, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def newest_asset_per_serial(assets: DataFrame) -> DataFrame:
     """The asset each computer serial resolves to: the newest one carrying it."""
     return (
@@ -211,6 +216,3 @@ def import_record(
         "total_rows", "imported_rows", "duplicate_rows", "error_rows",
     )
 
-
-def blank_free(c: str) -> Column:
-    return non_blank(or_blank(c))

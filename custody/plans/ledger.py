@@ -66,10 +66,19 @@ class Ledger:
         return counts
 
     def promote(self, run_ts: datetime) -> dict[str, int]:
+        # The rows to promote are found once and written down; everything else
+        # is derived from them, not from the whole staging tables.
+        events = self.store.log("events")
+        shreds = self.store.stage("new_shreds", gold.unpromoted(self.store.log("stg_shred"), events))
+        removals = self.store.stage(
+            "new_removals",
+            gold.unpromoted(
+                self.store.log("stg_removal"), events, gold.shred_events(shreds, run_ts)
+            ),
+        )
         result = gold.promote(
-            self.store.log("stg_shred"), self.store.log("stg_removal"),
-            self.store.snapshot("drives"), self.store.snapshot("batches"),
-            self.store.log("events"), run_ts,
+            shreds, removals, self.store.snapshot("drives"), self.store.snapshot("batches"),
+            self.spark.createDataFrame([], schemas.DRIVE_EVENT), run_ts,
         )
         # Entities first, events last: events mark rows as promoted, so a run lost
         # in between is simply repeated.

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from custody.session import configure  # noqa: E402
+from custody.session import STATIC_CONF, configure  # noqa: E402
 
 RUN_1 = datetime(2024, 6, 1, 12, 0, 0)
 RUN_2 = datetime(2024, 6, 2, 12, 0, 0)
@@ -15,14 +15,16 @@ RUN_2 = datetime(2024, 6, 2, 12, 0, 0)
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (
+    builder = (
         SparkSession.builder.master("local[8]")
         .appName("custody-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
-        .getOrCreate()
     )
+    for key, value in STATIC_CONF.items():
+        builder = builder.config(key, value)
+    session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return configure(session)
