@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -201,15 +200,6 @@ def upsert_drives(stored: DataFrame, changes: DataFrame, run_ts: datetime | Colu
     )
 
 
-@dataclass(frozen=True)
-class BundleLoad:
-    outcomes: DataFrame   # asset_tag, bundle_hash, outcome, error per document
-    new_scans: DataFrame  # rows to append, with facts
-    assets: DataFrame     # next snapshot
-    drives: DataFrame     # next snapshot (before link resolution)
-    touches: DataFrame    # audit rows to append
-
-
 def classify(
     documents: DataFrame,
     stored_scans: DataFrame,
@@ -250,20 +240,18 @@ def classify(
     ).drop("__new")
 
 
-def ingest(
-    classified: DataFrame,
-    assets: DataFrame,
-    drives: DataFrame,
+LOAD_ORDER = ["generated_at", "bundle_hash"]
+
+
+def scan_rows(
+    created: DataFrame,
     run_ts: datetime | Column,
     user: str,
     notes: Column | None = None,
     max_depth: int = tree.MAX_DEPTH,
-) -> BundleLoad:
-    """Everything one load of classified documents changes."""
-    accepted = classified.filter(F.col("outcome") != "failed")
-    created = classified.filter(F.col("outcome") == "created")
-    facts = with_facts(created, max_depth)
-    scans = facts.select(
+) -> DataFrame:
+    """Scan rows to append for newly created documents, with their disks. No shuffle."""
+    return with_facts(created, max_depth).select(
         "asset_tag", "bundle_hash",
         *[c.alias(name) for name, c in envelope().items()],
         "device_serial",
@@ -273,35 +261,22 @@ def ingest(
         (notes if notes is not None else F.lit("")).alias("user_notes"),
         "disks", "too_deep", "raw",
     )
-    order = ["generated_at", "bundle_hash"]
+
+
+def asset_changes(accepted: DataFrame, scans: DataFrame, run_ts: datetime | Column, user: str) -> DataFrame:
+    """One row per asset of a load, with the first machine serial its scans name.
+
+    Every accepted document creates its asset on first sight, duplicates too.
+    """
     serials = (
-        scans.select("asset_tag", *order, tracker_serial("device_serial").alias("s"))
+        scans.select("asset_tag", *LOAD_ORDER, tracker_serial("device_serial").alias("s"))
         .filter("s <> ''")
         .groupBy("asset_tag")
-        .agg(F.min_by("s", F.struct(*order)).alias("computer_serial"))
+        .agg(F.min_by("s", F.struct(*LOAD_ORDER)).alias("computer_serial"))
     )
-    # Every accepted document creates its asset on first sight, duplicates too.
-    seen = accepted.select("asset_tag").distinct()
-    asset_changes = seen.join(serials, "asset_tag", "left").withColumns(
-        {"created_at": at(run_ts), "created_by": F.lit(user)}
-    )
-    touches = scans.select(
-        "asset_tag",
-        F.lit("scan_upload").alias("touch_type"),
-        F.lit(user).alias("touched_by"),
-        at(run_ts).alias("touched_at"),
-        F.to_json(
-            F.struct(F.col("bundle_hash").alias("scan_id"), "device_serial",
-                     F.size("disks").alias("drive_count")),
-            {"ignoreNullFields": "false"},
-        ).alias("details"),
-    )
-    return BundleLoad(
-        outcomes=classified.select("file_name", "asset_tag", "bundle_hash", "outcome", "error"),
-        new_scans=scans,
-        assets=upsert_assets(assets, asset_changes),
-        drives=upsert_drives(drives, scan_drives(scans, order), run_ts),
-        touches=touches,
+    return (
+        accepted.select("asset_tag").distinct().join(serials, "asset_tag", "left")
+        .withColumns({"created_at": at(run_ts), "created_by": F.lit(user)})
     )
 
 

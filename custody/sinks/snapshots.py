@@ -76,6 +76,14 @@ class TableStore:
         rows.select(*columns).write.mode("overwrite").parquet(path)
         return self._read(name, path)
 
+    def vacuum(self, name: str, keep: int = 2) -> list[int]:
+        """Drop all but the newest versions, once no job reads the older ones."""
+        old = self._versions(name)[:-max(keep, 1)]
+        for number in old:
+            fs, path = self._fs(f"{self._path(name)}/v={number}")
+            fs.delete(path, True)
+        return old
+
     def extend(self, name: str, rows: DataFrame) -> None:
         """Add rows to the current version; only new files are written."""
         versions = self._versions(name)

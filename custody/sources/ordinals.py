@@ -33,9 +33,14 @@ def with_row_numbers(
         FILE, BLOCK,
         (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + start).alias("__shift"),
     )
+    # Both sides scan the same splits. Should they ever differ (files replaced in
+    # between), the job fails; no row is lost.
+    shift = F.coalesce(
+        F.col("__shift"), F.raise_error(F.lit("file changed while its rows were numbered")).cast("bigint")
+    )
     numbered = (
-        rows.join(shifts, [FILE, BLOCK])
-        .withColumn(name, F.col(POS) + F.col("__shift"))
+        rows.join(shifts, [FILE, BLOCK], "left")
+        .withColumn(name, F.col(POS) + shift)
         .drop(POS, "__shift")
     )
     return numbered if keep_position else numbered.drop(FILE, BLOCK)
