@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from custody.functions.serials import tracker_serial
 from custody.functions.text import append_note
-from custody.operators import merge
+from custody.operators import merge, skew
 from custody.operators.bronze import at
 
 SUSPECT_NOTE = "this drive serial is on other assets too (check the scan)"
@@ -100,9 +100,18 @@ def assets_by_serial(assets: DataFrame) -> DataFrame:
     ).filter("computer_serial <> ''")
 
 
-def resolvable(links: DataFrame, targets: DataFrame) -> DataFrame:
-    """Links joined with their asset: (pair, asset_tag). ``targets`` is unique per serial."""
-    return links.select(*PAIR).filter("drive_serial <> ''").join(targets, "computer_serial")
+def resolvable(
+    links: DataFrame, targets: DataFrame, unique: bool = True, hot_rows: int = skew.HOT_ROWS
+) -> DataFrame:
+    """Links joined with their asset: (pair, asset_tag).
+
+    ``unique`` says that ``targets`` holds one row per computer serial. Otherwise
+    nothing bounds a serial's assets, and the plain join is left to AQE.
+    """
+    pairs = links.select(*PAIR).filter("drive_serial <> ''")
+    if not unique:
+        return pairs.join(targets, "computer_serial")
+    return skew.join_unique(pairs, targets, "computer_serial", hot_rows=hot_rows)
 
 
 def resolve_drives(drives: DataFrame, resolved: DataFrame, run_ts: datetime | Column) -> DataFrame:
@@ -167,7 +176,7 @@ def resolve_links(
     suspects = suspect_serials(drives_after).select(
         F.col("serial").alias("drive_serial"), F.lit(True).alias("__suspect")
     )
-    changes = resolved.join(suspects, "drive_serial", "left").select(
+    changes = skew.join_unique(resolved, suspects, "drive_serial", "left").select(
         *PAIR,
         F.col("asset_tag").alias("resolved_asset"),
         F.concat_ws("|", "asset_tag", "drive_serial").alias("resolved_drive"),
