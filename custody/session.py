@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,12 +35,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's checkpoint folder.
 
-    Only where the cluster names none (tests, laptops) a local temporary folder
-    is used.
+    Only a session on one machine (``local`` or ``local[n]``) may go without one: its
+    executors share the local disk, so a temporary folder serves. Anywhere else a
+    missing setting is an error.
     """
     global _local_base
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if _local_base is None:
             _local_base = tempfile.mkdtemp(prefix="custody-")
         base = _local_base
