@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custody.llm import language, packing, urls, warc
+from custody.llm import language, neardup, packing, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,8 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     profiles = language.learn(docs, ~held_out(F.col("doc_id")))
     found = language.identify(docs, profiles)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_chosen_path_dedup")
+def chosen_path_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), size=2, percent=80)

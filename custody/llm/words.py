@@ -8,10 +8,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
-_CACHE_WORDS = 300_000  # remembered word hashes of a task; more are worked out again
-_cache: dict[bytes, int] = {}
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+_VALUES = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64)
+_FOLDED = _VALUES.copy()
+_FOLDED[65:91] = _VALUES[97:123]
+_BASE = 0x9E3779B97F4A7C15
+_powers = _inverse = np.ones(1, np.uint64)
+
+
+def _grow(n: int) -> None:
+    """Powers of the base and of its inverse modulo 2**64, up to the n-th."""
+    global _powers, _inverse
+    n = max(n, 1 << 14)
+    with np.errstate(over="ignore"):
+        _powers = np.full(n + 1, _BASE, np.uint64)
+        _inverse = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+        _powers[0] = _inverse[0] = 1
+        _powers, _inverse = np.cumprod(_powers, dtype=np.uint64), np.cumprod(_inverse, dtype=np.uint64)
 
 
 def split(text: bytes | None, lower: bool = False) -> list[bytes]:
@@ -21,20 +36,24 @@ def split(text: bytes | None, lower: bool = False) -> list[bytes]:
     return (text.lower() if lower else text).split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of every word."""
-    if len(_cache) > _CACHE_WORDS:
-        _cache.clear()
-    get, seen = xxhash.xxh3_64_intdigest, _cache
-    out = np.empty(len(words), np.uint64)
-    try:
-        out[:] = [seen[w] for w in words]
-    except KeyError:
-        for w in set(words):
-            if w not in seen:
-                seen[w] = get(w)
-        out[:] = [seen[w] for w in words]
-    return out
+def word_hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
+    """64-bit hash of every word, in order: a polynomial in random values of the bytes, mixed.
+
+    Running sums over the whole text give all words at once; a word's sum is brought to its
+    start by the inverse power, so equal words have equal hashes wherever they stand.
+    """
+    if not text:
+        return np.empty(0, np.uint64)
+    raw = np.frombuffer(text, np.uint8)
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = _BLANK[raw]
+    turn = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = turn[::2], turn[1::2]
+    if len(raw) >= len(_powers):
+        _grow(2 * len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((_FOLDED if lower else _VALUES)[raw] * _powers[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
