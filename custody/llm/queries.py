@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custody.llm import language, neardup, packing, urls, warc
+from custody.llm import language, neardup, packing, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,8 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_chosen_path_dedup")
 def chosen_path_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), size=2, percent=80)
+
+
+@query("op1_pstable_neighbours", vectors.ORACLE)
+def pstable_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"), cosine=0.95)
