@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custody.llm.work import written
 from custody.session import shared_dir
 
 MIN_BYTES = 100
@@ -51,7 +52,10 @@ def planned(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("digest"))
     first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first.select("digest", "first_id"), "digest", "left").select(
+    # written first, so that its size is known when the join is planned: where few payloads
+    # repeat, Spark's own threshold broadcasts them and no page is shuffled
+    first = written(first.select("digest", "first_id"), "repeated")
+    return rows.join(first, "digest", "left").select(
         "page_id", "url", "payload", "payload_bytes", "digest", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")).alias("refers_to")
     )
 
@@ -214,14 +218,11 @@ def roundtrip(pages: DataFrame) -> DataFrame:
     read = read_ranges(spark, archive, lookup(spark, index, keys)).select(
         "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest")
     )
-    folder_read = f"{folder}/read"
-    read.write.parquet(folder_read)
-    read = spark.read.schema(read.schema).parquet(folder_read)
+    read = written(read, "read")
     kept = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("to")).agg(F.first("own_bytes").alias("to_bytes"), F.first("own_digest").alias("to_digest"))
-    out = read.join(kept, F.col("refers_to") == F.col("to"), "left")
-    return out.select(
-        "page_id", F.coalesce("to_bytes", "own_bytes").alias("payload_bytes"), F.coalesce("to_digest", "own_digest").alias("payload_digest"), "record_type", "refers_to"
-    )
+    own = read.where("record_type = 'response'").select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to")
+    again = read.where("record_type <> 'response'").join(kept, F.col("refers_to") == F.col("to"))
+    return own.union(again.select("page_id", "to_bytes", "to_digest", "record_type", "refers_to"))
 
 
 ORACLE = f"""
