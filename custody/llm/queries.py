@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custody.llm import language, neardup, packing, urls, vectors, warc
+from custody.llm import language, neardup, packing, toxicity, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,11 @@ def chosen_path_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_pstable_neighbours", vectors.ORACLE)
 def pstable_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(table(spark, folder, "embeddings"), cosine=0.95)
+
+
+@query("op4_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    net = toxicity.learn(docs, labels, ~held_out(F.col("doc_id")))
+    found = toxicity.score(docs, net)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
