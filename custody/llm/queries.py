@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custody.llm import language, neardup, packing, toxicity, urls, vectors, warc
+from custody.llm import language, neardup, packing, substring, toxicity, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     net = toxicity.learn(docs, labels, ~held_out(F.col("doc_id")))
     found = toxicity.score(docs, net)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.kept_digests(table(spark, folder, "documents"), window=20)
