@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custody.llm import language, neardup, packing, substring, toxicity, urls, vectors, warc
+from custody.llm import decontaminate, language, neardup, packing, substring, toxicity, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_substring_dedup")
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.kept_digests(table(spark, folder, "documents"), window=20)
+
+
+@query("op2_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
