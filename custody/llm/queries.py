@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custody.llm import decontaminate, language, neardup, packing, substring, toxicity, urls, vectors, warc
+from custody.llm import decontaminate, language, neardup, packing, quality, substring, toxicity, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,11 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_decontamination")
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op10_quality_cotraining")
+def quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.learn(docs, labels, ~held_out(F.col("doc_id")))
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "meta_score")

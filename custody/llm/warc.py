@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,10 +197,30 @@ def lookup(spark: SparkSession, index: str, keys: DataFrame) -> DataFrame:
 
 
 def read_ranges(spark: SparkSession, archive: str, found: DataFrame) -> DataFrame:
-    """The captures with ``payload`` bytes; a file's ranges are gathered (it holds a bounded number of records) and cut from it."""
-    per_file = found.groupBy("file").agg(F.collect_list(F.struct("page_id", "record_type", "refers_to", "digest", "start", "length")).alias("ranges"))
-    cut = archive_files(spark, archive).join(per_file, F.col("path") == F.col("file")).select(F.explode("ranges").alias("r"), "content")
-    return cut.select("r.*", F.expr("substring(content, int(r.start) + 1, int(r.length))").alias("payload"))
+    """The captures with ``payload`` bytes, cut from the archives.
+
+    A file's ranges are gathered (it holds a bounded number of records) and meet the file,
+    which travels compressed.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data = [codec.compress(c.as_py()) for c in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(data, pa.binary())], ["path", "data"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for data, ranges in zip(batch.column("data"), batch.column("ranges"), strict=True):
+                content, rows = codec.decompress(data.as_py()), ranges.values
+                payload = [content[s : s + n] for s, n in zip(rows.field("start").to_pylist(), rows.field("length").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.field(c) for c in ("page_id", "record_type", "refers_to")] + [pa.array(payload, pa.binary())], ["page_id", "record_type", "refers_to", "payload"])
+
+    per_file = found.groupBy("file").agg(F.collect_list(F.struct("page_id", "record_type", "refers_to", "start", "length")).alias("ranges"))
+    files = archive_files(spark, archive).mapInArrow(packed, "path string, data binary")
+    rows = files.join(per_file, F.col("path") == F.col("file")).select("data", "ranges")
+    return rows.mapInArrow(cut, "page_id long, record_type string, refers_to long, payload binary")
 
 
 def roundtrip(pages: DataFrame) -> DataFrame:
