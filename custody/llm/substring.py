@@ -202,7 +202,10 @@ def covered(n: int, window: int, copied: bool, places: list[int] | None, bits: l
 
 
 def _joined(docs: DataFrame, window: int) -> DataFrame:
-    return docs.join(marks(docs, window).withColumnRenamed("doc_id", "marked_id"), F.col("doc_id").cast("long") == F.col("marked_id"), "left")
+    """(row, marked_id, copied, places, bits): each document whole, as one struct, beside its marks."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct(*docs.columns).alias("row"))
+    found = marks(docs.select("doc_id", "text"), window).withColumnRenamed("doc_id", "marked_id")
+    return whole.join(found, F.col("own_id") == F.col("marked_id"), "left").select("row", "marked_id", "copied", "places", "bits")
 
 
 def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -220,7 +223,7 @@ def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _joined(docs.select(F.col("doc_id").cast("long"), "text"), window).select("doc_id", "text", "copied", "places", "bits")
+    rows = _joined(docs.select(F.col("doc_id").cast("long"), "text"), window).select("row.doc_id", "row.text", "copied", "places", "bits")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -233,7 +236,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             texts, alive = [], []
             columns = [batch.column(c).to_pylist() for c in ("marked_id", "copied", "places", "bits")]
-            for text, marked, copied, places, bits in zip(words.binaries(batch.column("text")), *columns, strict=True):
+            whole = batch.column("row")
+            for text, marked, copied, places, bits in zip(words.binaries(whole.field("text")), *columns, strict=True):
                 if marked is None:
                     texts.append(text), alive.append(True)
                     continue
@@ -242,7 +246,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept = [w for w, g in zip(split, gone.tolist(), strict=True) if not g]
                 texts.append(b" ".join(kept) if gone.any() else text)
                 alive.append(bool(kept) or not gone.any())
-            out = [pa.array([t.decode() if t is not None else None for t in texts], batch.schema.field(c).type) if c == "text" else batch.column(c) for c in fields.names]
+            out = [pa.array(texts, pa.binary()).cast(whole.field("text").type) if c == "text" else whole.field(c) for c in fields.names]
             yield pa.RecordBatch.from_arrays(out, fields.names).filter(pa.array(alive))
 
     made = _joined(docs, window).mapInArrow(run, fields)

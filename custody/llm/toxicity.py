@@ -291,6 +291,11 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column) -> Network:
     return fit([(r["text"], int(r["toxic"])) for r in rows], float(share))
 
 
+def _scores(model: Network, texts: list[str | None]) -> list[float]:
+    logits = window_logits(model, [tokens(t) for t in texts])
+    return [float(_sigmoid(summary(x) @ model.document)) if len(x) else 0.0 for x in logits]
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, score), one row per document."""
     held = docs.sparkSession.sparkContext.broadcast((net.vocabulary, net.weights, net.document))
@@ -300,8 +305,20 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                logits = window_logits(model, [tokens(t) for t in part.column("text").to_pylist()])
-                scores = [float(_sigmoid(summary(x) @ model.document)) if len(x) else 0.0 for x in logits]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_scores(model, part.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is below ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast((net.vocabulary, net.weights, net.document))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Network(*held.value)
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                yield part.filter(pa.array([s < threshold for s in _scores(model, part.column("text").to_pylist())]))
+
+    return docs.mapInArrow(run, docs.schema)
