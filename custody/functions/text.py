@@ -54,21 +54,11 @@ def alias_pick(payload: Column | str, names: list[str]) -> Column:
     return first_non_blank(*[F.try_element_at(m, F.lit(n)) for n in names])
 
 
-def first_match(text: Column | str, pattern: str) -> Column:
-    """Group 1 of the first match; NULL without a match, '' for an empty group."""
-    return F.get(F.regexp_extract_all(as_col(text), F.lit(pattern), F.lit(1)), F.lit(0))
-
-
-def last_match(text: Column | str, pattern: str) -> Column:
-    return F.try_element_at(
-        F.regexp_extract_all(as_col(text), F.lit(pattern), F.lit(1)), F.lit(-1)
-    )
-
-
 def key_line(text: Column | str, key: str) -> Column:
     """Value of the first ``key: value`` line, stripped."""
-    escaped = key.replace("-", "\\-")
-    return strip(first_match(text, f"(?dm)^\\s*{escaped}:\\s*(.+)$"))
+    lines = F.transform(F.split(as_col(text), "\n"), strip)
+    own = F.filter(lines, lambda x: x.startswith(f"{key}:") & (F.length(x) > len(key) + 1))
+    return strip(F.substr(F.get(own, F.lit(0)), F.lit(len(key) + 2)))
 
 
 def first_line(text: Column | str, limit: int = 140) -> Column:

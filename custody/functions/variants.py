@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from custody.functions.text import as_col
 
 
-_END = "end of document"
-
-
 def parse_document(raw: Column | str) -> Column:
     """VARIANT of a JSON text, NULL for anything else.
 
     ``try_parse_json`` stops after the first value and would accept trailing
-    text. Parsing the text as the first element of a two-element list shows
-    whether it ends where the value ends.
+    text. The text is parsed as the first element of a list whose second one is an
+    end mark; the list must have just these two. The mark is the text's own SHA-256,
+    which no text can hold in itself.
     """
-    pair = F.try_parse_json(F.concat(F.lit("["), as_col(raw), F.lit(f',"{_END}"]')))
-    complete = F.try_variant_get(pair, "$[1]", "string") == _END
+    text = as_col(raw)
+    mark = F.sha2(text, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    complete = (F.try_variant_get(pair, "$[1]", "string") == mark) & F.try_variant_get(pair, "$[2]", "variant").isNull()
     return F.when(complete, F.try_variant_get(pair, "$[0]", "variant"))
 
 
@@ -36,14 +36,6 @@ def long_at(doc: Column | str, path: str) -> Column:
     return F.try_variant_get(as_col(doc), path, "bigint")
 
 
-def double_at(doc: Column | str, path: str) -> Column:
-    return F.try_variant_get(as_col(doc), path, "double")
-
-
-def bool_at(doc: Column | str, path: str) -> Column:
-    return F.try_variant_get(as_col(doc), path, "boolean")
-
-
 def items_at(doc: Column | str, path: str) -> Column:
     """Elements of a list, empty when the path holds anything else."""
     return F.coalesce(
