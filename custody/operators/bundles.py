@@ -13,7 +13,7 @@ from custody.functions.serials import tracker_serial
 from custody.functions.text import as_col, non_blank, or_blank, strip
 from custody.functions.times import parse_iso
 from custody.operators import inventory, merge, tools, tree
-from custody.operators.bronze import at, new_rows
+from custody.operators.bronze import at
 
 # Fixed value: largest accepted document in bytes.
 MAX_BYTES = 5_242_880
@@ -99,9 +99,9 @@ def hardware_tree(bundle: Column | str = "bundle") -> Column:
     return F.when(V.is_object(inner), inner).otherwise(as_col(bundle))
 
 
-def with_facts(documents: DataFrame, max_depth: int = tree.MAX_DEPTH) -> DataFrame:
+def with_facts(documents: DataFrame) -> DataFrame:
     """Flatten ``sources.lshw`` and add every per-scan fact. No shuffle."""
-    flat = tree.flatten(documents, V.member("bundle", "$.sources.lshw"), max_depth)
+    flat = tree.flatten(documents, V.member("bundle", "$.sources.lshw"))
     return inventory.summarise(flat)
 
 
@@ -211,8 +211,9 @@ def classify(
 
     ``documents`` has (asset_tag, file_name, raw); ``asset_tag`` NULL marks a bad file
     name. ``schema_id`` switches the contract check on (single uploads make it,
-    bulk uploads do not). Outcomes: created, duplicate, failed. Within a load the
-    smallest file name of equal documents is the one created.
+    bulk uploads do not). Outcomes: created, duplicate, failed. Of equal documents of a
+    load the one of the smallest file name, then path, is created; without a ``path``
+    column equal names are one file listed more than once.
     """
     docs = parsed(documents)
     checks = [F.when(F.col("asset_tag").isNull(), F.lit("bad_file_name"))]
@@ -226,14 +227,16 @@ def classify(
     identity = document_hash("bundle") if hash_mode == "canonical" else bundle_hash("raw", hash_mode)
     docs = docs.withColumns({"bundle_hash": identity, "error": F.coalesce(*checks)})
     key = ["asset_tag", "bundle_hash"]
-    good = docs.filter(F.col("error").isNull()).select(*key, "file_name")
+    place = ["file_name", *(c for c in ["path"] if c in docs.columns)]
+    good = docs.filter(F.col("error").isNull()).select(*key, *place)
     # Keys only: winners per content, then those not stored yet.
     winners = (
-        good.groupBy(*key).agg(F.min("file_name").alias("file_name"))
+        good.groupBy(*key).agg(F.min(F.struct(*place)).alias("__first"))
+        .select(*key, "__first.*")
         .join(stored_scans.select(*key), key, "left_anti")
         .withColumn("__new", F.lit(True))
     )
-    marked = docs.join(winners, [*key, "file_name"], "left")
+    marked = docs.join(winners, [*key, *place], "left")
     return marked.withColumn(
         "outcome",
         F.when(F.col("error").isNotNull(), "failed").when(F.col("__new"), "created").otherwise("duplicate"),
@@ -248,10 +251,9 @@ def scan_rows(
     run_ts: datetime | Column,
     user: str,
     notes: Column | None = None,
-    max_depth: int = tree.MAX_DEPTH,
 ) -> DataFrame:
     """Scan rows to append for newly created documents, with their disks. No shuffle."""
-    return with_facts(created, max_depth).select(
+    return with_facts(created).select(
         "asset_tag", "bundle_hash",
         *[c.alias(name) for name, c in envelope().items()],
         "device_serial",
@@ -259,7 +261,7 @@ def scan_rows(
         at(run_ts).alias("scanned_at"),
         F.lit(user).alias("scanned_by"),
         (notes if notes is not None else F.lit("")).alias("user_notes"),
-        "disks", "too_deep", "raw",
+        "disks", "raw",
     )
 
 
@@ -336,8 +338,3 @@ def first_errors(outcomes: DataFrame, n: int = 5) -> DataFrame:
         .orderBy("file_name")
         .limit(n)
     )
-
-
-def insert_scans(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Scans still to be appended after a replayed load."""
-    return new_rows(new, stored, ["asset_tag", "bundle_hash"])

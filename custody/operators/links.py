@@ -93,27 +93,26 @@ def newest_asset_per_serial(assets: DataFrame) -> DataFrame:
     )
 
 
-def assets_by_serial(assets: DataFrame) -> DataFrame:
-    """Scan side: every listed asset resolves the links of its own serial."""
-    return assets.select(
-        tracker_serial("computer_serial").alias("computer_serial"), "asset_tag"
-    ).filter("computer_serial <> ''")
+def resolvable(links: DataFrame, targets: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+    """Links joined with their asset: (pair, asset_tag); ``targets`` holds one row per computer serial.
 
-
-def resolvable(
-    links: DataFrame, targets: DataFrame, unique: bool = True, hot_rows: int = skew.HOT_ROWS
-) -> DataFrame:
-    """Links joined with their asset: (pair, asset_tag).
-
-    ``unique`` says that ``targets`` holds one row per computer serial. Otherwise
-    nothing bounds a serial's assets, and the plain join is left to AQE.
+    A serial on several assets (a board maker's placeholder, say) resolves to the newest of
+    them, so the output is at most the links; ``shared_serials`` lists the others.
     """
     pairs = links.select(*PAIR).filter("drive_serial <> ''")
-    if not unique:
-        return pairs.join(targets, "computer_serial")
     return skew.join_unique(pairs, targets, "computer_serial", hot_rows=hot_rows)
 
 
+def shared_serials(assets: DataFrame) -> DataFrame:
+    """Computer serials that more than one asset carries, with how many do."""
+    return (
+        assets.select(tracker_serial("computer_serial").alias("computer_serial"), "asset_tag")
+        .filter("computer_serial <> ''")
+        .groupBy("computer_serial").agg(F.count(F.lit(1)).alias("assets"))
+        .filter("assets > 1")
+    )
+
+
 def resolve_drives(drives: DataFrame, resolved: DataFrame, run_ts: datetime | Column) -> DataFrame:
     """Add missing drives as removed before the scan; move only ``present`` ones there."""
     changes = (
@@ -176,7 +175,7 @@ def resolve_links(
     suspects = suspect_serials(drives_after).select(
         F.col("serial").alias("drive_serial"), F.lit(True).alias("__suspect")
     )
-    changes = skew.join_unique(resolved, suspects, "drive_serial", "left").select(
+    changes = skew.join_unique(resolved, suspects, "drive_serial", "left", counted=links).select(
         *PAIR,
         F.col("asset_tag").alias("resolved_asset"),
         F.concat_ws("|", "asset_tag", "drive_serial").alias("resolved_drive"),

@@ -13,27 +13,31 @@ from pyspark.sql import functions as F
 # A key with more rows than this is hot. There are at most rows / HOT_ROWS such
 # keys (a million in 10^12 rows), which bounds what is broadcast.
 HOT_ROWS = 1_000_000
+SALTS = 64
 
 
 def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     return (
         facts.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows).select(key)
+        .filter(F.col("__n") > hot_rows).select(key, F.lit(True).alias("__hot"))
     )
 
 
 def join_unique(
-    facts: DataFrame, unique: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS
+    facts: DataFrame, unique: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Inner or left join of ``facts`` with ``unique`` (one row per key).
+    """Inner or left join of ``facts`` with ``unique`` (one row per key), each side read once.
 
-    Rows of hot keys meet their few partners by broadcast and are not shuffled;
-    all other rows take the ordinary join.
+    Rows of hot keys are salted by a hash of the row, and the few unique rows of hot keys
+    are copied to every salt. Keys are counted in ``counted``: a stored table that has at
+    least the facts' rows of each key, where computing the facts is costly.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
-    hot = hot_keys(facts, key, hot_rows)
-    partners = unique.join(F.broadcast(hot), key, "left_semi")
-    hot_rows_only = facts.join(F.broadcast(hot), key, "left_semi")
-    rest = facts.join(F.broadcast(hot), key, "left_anti")
-    return hot_rows_only.join(F.broadcast(partners), key, how).unionByName(rest.join(unique, key, how))
+    hot = F.broadcast(hot_keys(facts if counted is None else counted, key, hot_rows))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS))).otherwise(0)
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = facts.join(hot, key, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
+    spread = unique.join(hot, key, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return salted.join(spread, [key, "__salt"], how).drop("__salt")

@@ -7,6 +7,8 @@ marker, so a lost job leaves the previous version in place. One writer per table
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -94,7 +96,15 @@ class TableStore:
         rows.select(*columns).write.mode("append").parquet(f"{self._path(name)}/v={versions[-1]}")
 
     def stage(self, name: str, rows: DataFrame) -> DataFrame:
-        """Write an intermediate result of one run and read it back: cuts lineage."""
-        path = f"{self.root}/_work/{name}"
-        rows.write.mode("overwrite").parquet(path)
+        """Write an intermediate result and read it back: cuts lineage.
+
+        Every call has a folder of its own, so results handed out stay readable and runs
+        do not meet; ``clear_stages`` drops them all once nothing reads them.
+        """
+        path = f"{self.root}/_work/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear_stages(self) -> None:
+        fs, path = self._fs(f"{self.root}/_work")
+        fs.delete(path, True)

@@ -534,7 +534,7 @@ def bulk_errors(t):
 def scan_drives(t):
     """Latest description of every drive found in the machines' scans."""
     docs = bundles.parsed(documents(t))
-    facts = bundles.with_facts(docs.withColumns({"generated_at": bundles.envelope()["generated_at"]}), max_depth=5)
+    facts = bundles.with_facts(docs.withColumns({"generated_at": bundles.envelope()["generated_at"]}))
     drives = bundles.scan_drives(facts, ["generated_at", "scan_id"])
     return drives.select(
         "asset_tag", "serial", "logicalname", F.coalesce("capacity_bytes", F.lit(-1)).alias("capacity_bytes"), "model"

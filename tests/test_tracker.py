@@ -109,13 +109,60 @@ def test_single_upload_checks_the_contract(spark, tracker, tmp_path):
 
 
 def test_deep_trees_are_flattened_whole(spark, tmp_path):
-    tracker = Tracker(spark, str(tmp_path / "deep"), max_depth=3)
+    tracker = Tracker(spark, str(tmp_path / "deep"))
     node = {"class": "disk", "serial": "DEEP-0001"}
     for _ in range(12):
         node = {"children": [node]}
     doc = bundle("A1", sources={"lshw": node})
     tracker.load_bundles(bundle_documents(spark, write(tmp_path / "d", {"A1.json": doc})), RUN_1, "ida")
     assert [r.serial for r in tracker.drives().collect()] == ["DEEP-0001"]
+    shown = tracker.asset_details().select("display_drives", F.size("disks").alias("n"), F.size("touches").alias("t")).first()
+    assert (shown.display_drives, shown.n, shown.t) == (1, 1, 1)
+
+
+def test_equal_documents_in_two_folders_store_one_scan(spark, tracker, tmp_path):
+    for folder in ("x", "y"):
+        write(tmp_path / "twice" / folder, {"A1.json": bundle("A1")})
+    found = bundle_documents(spark, str(tmp_path / "twice" / "*"))
+    out = tracker.load_bundles(found, RUN_1, "ida").select("outcome").collect()
+    assert sorted(r.outcome for r in out) == ["created", "duplicate"]
+    assert tracker.scans().count() == 1 and tracker.store.log("touches").count() == 1
+    again = tracker.load_bundles(found.union(found), RUN_1, "ida")
+    assert {r.outcome for r in again.collect()} == {"duplicate"}
+    assert sorted(r.outcome for r in out) == ["created", "duplicate"]
+
+
+def test_stopped_loads_and_imports_can_be_repeated(spark, tracker, tmp_path, monkeypatch):
+    path = write(tmp_path / "r", {"A1.json": bundle("A1")})
+    real = tracker.store.append
+
+    def stopped(name, rows):
+        if name == "scans":
+            raise RuntimeError("lost")
+        real(name, rows)
+
+    monkeypatch.setattr(tracker.store, "append", stopped)
+    with pytest.raises(RuntimeError):
+        tracker.load_bundles(bundle_documents(spark, path), RUN_1, "ida")
+    monkeypatch.setattr(tracker.store, "append", real)
+    tracker.load_bundles(bundle_documents(spark, path), RUN_1, "ida")
+    assert (tracker.scans().count(), tracker.store.log("touches").count(), tracker.drives().count()) == (1, 1, len(tracker.drives().collect()))
+    for _ in range(2):
+        tracker.import_pairs(pairs_of(spark, "machine-9,disk-0009"), "b9", RUN_1, "ida")
+    assert [(r.seen_count, r.last_batch) for r in tracker.links().filter("drive_serial = 'DISK-0009'").collect()] == [(1, "b9")]
+    assert tracker.store.log("imports").filter("batch_id = 'b9'").count() == 1
+
+
+def test_two_intake_updates_of_one_asset_give_one_row(spark, tracker, tmp_path):
+    tracker.load_bundles(bundle_documents(spark, write(tmp_path / "i", {"A1.json": bundle("A1")})), RUN_1, "ida")
+    updates = spark.createDataFrame([("A1", "sold", "2024-01-02"), ("A1", "kept", "2024-01-01")], "asset_tag STRING, status STRING, changed_at STRING")
+    tracker.change_intake(updates, RUN_1, "ida")
+    assert [r.status for r in tracker.assets().collect()] == ["sold"]
+
+
+def test_single_uploads_need_a_schema(spark, tmp_path):
+    with pytest.raises(ValueError):
+        Tracker(spark, str(tmp_path / "n")).load_bundles(None, RUN_1, "ida", bulk=False)
 
 
 def test_pairs_resolve_before_and_after_the_scan(spark, tracker, tmp_path):

@@ -10,18 +10,18 @@ from custody.operators import bundles, inventory, tools, tree
 GB = 1024**3
 
 
-def flat(spark, *docs, depth=tree.MAX_DEPTH):
+def flat(spark, *docs):
     rows = [(i, d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "i INT, raw STRING").select("i", F.parse_json("raw").alias("t"))
-    return tree.flatten(df, "t", depth)
+    return tree.flatten(df, "t")
 
 
 def facts(spark, doc):
     return inventory.summarise(flat(spark, doc)).first()
 
 
-def walk_ids(spark, doc, column, depth=tree.MAX_DEPTH):
-    row = flat(spark, doc, depth=depth).select(F.transform(column, lambda n: n["id"]).alias("ids")).first()
+def walk_ids(spark, doc, column):
+    row = flat(spark, doc).select(F.transform(column, lambda n: n["id"]).alias("ids")).first()
     return row.ids
 
 
@@ -53,15 +53,11 @@ def chain(n):
     return doc
 
 
-def test_depth_is_reported_never_cut_silently(spark):
-    assert flat(spark, chain(5), depth=5).first().too_deep is False
-    assert flat(spark, chain(6), depth=5).first().too_deep is True
-    deep = spark.createDataFrame([(json.dumps(chain(90)),), ("[]",)], "raw STRING").select(
-        F.parse_json("raw").alias("t")
-    )
-    assert tree.needed_depth(deep, "t") >= 90
-    rows = tree.flatten_all(deep, "t", 5).select(F.size("nodes").alias("n"), "too_deep").collect()
-    assert [(r.n, r.too_deep) for r in rows] == [(91, False), (0, False)]
+def test_every_tree_is_unfolded_to_its_own_depth(spark):
+    depths = [0, 1, 6, 65, 90]
+    rows = spark.createDataFrame([(d, json.dumps(chain(d))) for d in depths] + [(-1, "[]"), (-2, None)], "d INT, raw STRING")
+    got = tree.flatten(rows.withColumn("t", F.parse_json("raw")), "t").select("d", F.size("nodes").alias("n")).collect()
+    assert {r.d: max(r.n, 0) for r in got} == {**{d: d + 1 for d in depths}, -1: 0, -2: 0}
 
 
 def test_explode_nodes(spark):
