@@ -55,8 +55,12 @@ def new_rows(incoming: DataFrame, stored: DataFrame, key: list[str]) -> DataFram
 
 
 def append_new(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Idempotent append: the bronze rows still to be written."""
-    return new_rows(incoming, stored, ["event_id"])
+    """Idempotent append: the bronze rows still to be written.
+
+    The sheet id, which the event id depends on, is part of the key, so that a table
+    partitioned by it can be pruned by the load's sheets where Spark sees fit.
+    """
+    return new_rows(incoming, stored, ["source_sheet_id", "event_id"])
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

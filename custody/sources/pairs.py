@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custody.functions.text import strip
 from custody.sources.ordinals import BLOCK, FILE, scan_position, with_row_numbers
 
-# Fixed value: how much of a file decides its delimiter.
-SNIFF_CHARS = 4096
 _LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
 
@@ -22,26 +20,12 @@ def _row(line: Column, delimiter: Column) -> Column:
 
 
 def _delimiters(lines: DataFrame) -> DataFrame:
-    """Tab or comma per file, whichever the first characters hold more of.
-
-    At most ``SNIFF_CHARS`` lines can touch the sample, so each file's window is
-    bounded however long the file is.
-    """
-    head = lines.filter(F.col("row_index") <= SNIFF_CHARS)
-    before = F.coalesce(
-        F.sum(F.length("value") + 1).over(
-            Window.partitionBy(FILE).orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    sample = head.select(
-        FILE, F.left("value", F.greatest(F.lit(SNIFF_CHARS) - before, F.lit(0))).alias("s")
-    )
+    """Tab or comma per file, whichever the file holds more of; a comma on a tie."""
 
     def count(ch: str) -> Column:
-        return F.sum(F.length("s") - F.length(F.translate("s", ch, "")))
+        return F.sum(F.length("value") - F.length(F.translate("value", ch, "")))
 
-    return sample.groupBy(FILE).agg(
+    return lines.groupBy(FILE).agg(
         F.when(count("\t") > count(","), F.lit("\t")).otherwise(F.lit(",")).alias("delimiter")
     )
 

@@ -100,8 +100,22 @@ def test_row_numbers_across_splits(spark, tmp_path):
 
 def test_line_break_inside_quotes(spark, tmp_path):
     (tmp_path / "q.csv").write_text('a,b\n"one\ntwo",x\nthree,y\n')
-    rows = csv_rows(spark, str(tmp_path / "q.csv"), "q").rows.orderBy("row_number").collect()
+    rows = csv_rows(spark, str(tmp_path / "q.csv"), "q", multiline=True).rows.orderBy("row_number").collect()
     assert [(r.row_number, r.payload["a"]) for r in rows] == [(2, "one\ntwo"), (3, "three")]
+    by_line = csv_rows(spark, str(tmp_path / "q.csv"), "q")
+    bad = by_line.rejected.orderBy("row_number").collect()
+    assert [(r.row_number, r.error) for r in bad] == [(2, "open quote"), (3, "open quote")] and bad[0].path.endswith("q.csv")
+    assert [r.payload["a"] for r in by_line.rows.collect()] == ["three"]
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Serial,Client\nS1,C1\n\nS2,"C, 2"\n')
+    (tmp_path / "b.csv").write_text("\ufeffClient,Extra,Serial\r\nC3,e,S3\r\nC4,2.5\"\r\nC5,x,S5,more\r\n")
+    for multiline in (False, True):
+        load = csv_rows(spark, str(tmp_path), "x", multiline=multiline)
+        got = sorted((r.payload["Serial"] or "", r.payload["Client"], r.row_number) for r in load.rows.collect())
+        assert ("S1", "C1", 2) in got and ("S2", "C, 2", 3) in got and ("S3", "C3", 2) in got
+        assert any("more" in r.raw_line for r in load.rejected.collect())
 
 
 def test_counters(done):
@@ -223,6 +237,7 @@ def test_sheet_values(spark, tmp_path):
         '"values":[["A","B","A"],["1"],["2","3","4","5"],[]]}'
     )
     (tmp_path / "none.json").write_text('{"sheet_id":"s2","tab":"T","header_row":1,"values":[]}')
+    (tmp_path / "bad.json").write_text('{"sheet_id":"s5","values":[["A"')
     loaded = sheet_sources(
         spark,
         [
@@ -230,6 +245,7 @@ def test_sheet_values(spark, tmp_path):
             {"name": "gone", "sheet_id": "s3", "tab": "T", "path": str(tmp_path / "missing.json")},
             {"name": "half", "sheet_id": "s4"},
             {"name": "none", "sheet_id": "s2", "tab": "T", "path": str(tmp_path / "none.json")},
+            {"name": "bad", "sheet_id": "s5", "tab": "T", "path": str(tmp_path / "bad.json")},
         ],
     )
     got = [(r.source_sheet_id, r.row_number, r.payload) for r in loaded.rows.orderBy("row_number").collect()]
@@ -239,6 +255,7 @@ def test_sheet_values(spark, tmp_path):
         ("s1", 6, {"A": "", "B": ""}),
     ]
     assert [n for n, _ in loaded.skipped] == ["gone", "half"]
+    assert [(r.source_name, r.path.rsplit("/", 1)[1], r.error) for r in loaded.rejected.collect()] == [("bad", "bad.json", "broken JSON")]
 
 
 def test_latest_time_wins(spark):
