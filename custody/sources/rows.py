@@ -16,7 +16,8 @@ CSV_SHEET_PREFIX = "csv_"
 CSV_TAB = "data"
 FIRST_DATA_ROW = 2
 
-_TOKEN = r'(?s)(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+# a comma stands before every cell, so that no match is empty
+_TOKEN = r'(?s),("(?:[^"]++|"")*+"|[^,]*)'
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ def _tokens(line: Column) -> Column:
         inner = F.substr(t, F.lit(2), F.length(t) - 2)
         return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(t)
 
-    return F.transform(F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(1)), bare)
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_TOKEN), F.lit(1)), bare)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custody import schemas
 from custody.operators import audit, bundles, links
+from custody.plans.tracker import Tracker
 from custody.session import shared_dir, spread
 from custody.sources.pairs import all_pairs, file_pairs, pasted_pairs
 from custody.sources.rows import csv_rows, sheet_values
@@ -61,10 +65,11 @@ def csv_source(t):
     """Customers written as CSV into the shared folder and read back as sheet rows."""
     path = shared_dir(t.spark, "csv")
     remark = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit('says "hi", '), F.col("c_mktsegment"))).otherwise("")
-    t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), remark.alias("remark")).write.csv(
-        path, header=True, escape='"', emptyValue=""
-    )
-    rows = csv_rows(t.spark, path, "customers").rows
+    cells = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), remark.alias("remark"))
+    # two exports with their columns in different order
+    for folder, order, part in [("even", ["k", "name", "remark"], "k % 2 = 0"), ("odd", ["remark", "k", "name"], "k % 2 = 1")]:
+        cells.filter(part).select(*order).write.csv(f"{path}/{folder}", header=True, escape='"', emptyValue="")
+    rows = csv_rows(t.spark, f"{path}/*", "customers").rows
     return rows.select(
         "source_sheet_id", "source_tab", *[F.col("payload")[c].alias(c) for c in ["k", "name", "remark"]]
     )
@@ -436,6 +441,56 @@ def intake_diff(t):
     return diff.select("asset_tag", F.array_join(pairs, "; ").alias("changes"))
 
 
+@query(
+    "intake_updates",
+    """
+    SELECT o_orderkey AS asset_tag, 'status=' || 'S' || (o_orderkey % 3) AS changes FROM orders WHERE o_orderstatus <> 'S' || (o_orderkey % 3)
+    """,
+)
+def intake_updates(t):
+    """Two updates of each asset: the later one counts, once."""
+    k = F.col("o_orderkey")
+    old = t.orders.select(k.alias("asset_tag"), F.col("o_orderstatus").alias("status"))
+    first = t.orders.select(k.alias("asset_tag"), F.lit("Z").alias("status"), F.lit(1).alias("changed_at"))
+    last = t.orders.select(k.alias("asset_tag"), F.concat(F.lit("S"), k % 3).alias("status"), F.lit(2).alias("changed_at"))
+    diff = audit.intake_diff(old, last.unionByName(first), ["status"])
+    return diff.select("asset_tag", F.concat(F.lit("status="), F.col("updated_fields")["status"]).alias("changes"))
+
+
+@query(
+    "pair_import_flow",
+    f"""
+    WITH {SQL_RESOLVE}
+    SELECT (SELECT count(*) FROM pairs) AS total_rows, (SELECT count(*) FROM links) AS imported_rows,
+           (SELECT sum(seen_count) - count(*) FROM links)::BIGINT AS duplicate_rows,
+           (SELECT count(*) FROM pairs WHERE drive_serial = '') AS error_rows,
+           (SELECT count(DISTINCT asset_tag) FROM resolved) AS resolved_assets, (SELECT count(*) FROM resolved) AS resolved_drives,
+           (SELECT count(*) FROM links) AS links, (SELECT sum(seen_count) FROM links)::BIGINT AS seen, 1 AS imports
+    """,
+)
+def pair_import_flow(t):
+    """A file and a pasted list imported against stored assets, twice under one batch id.
+
+    Half of the serials are written in full-width letters, which normalise to plain ones.
+    """
+    tracker = Tracker(t.spark, shared_dir(t.spark, "import"))
+    assets, drives = tracker_state(t)
+    tracker.store.replace("assets", empty(t, schemas.ASSET).unionByName(assets, allowMissingColumns=True))
+    tracker.store.replace("asset_drives", drives)
+    raw = t.lineitem.select(
+        F.when(F.col("l_linenumber") % 2 == 0, "file").otherwise("paste").alias("source"),
+        F.col("l_linenumber").cast("bigint").alias("row_index"), F.lit("").alias("raw_line"),
+        F.concat(F.when(F.col("l_orderkey") % 2 == 0, " \uff30\uff43").otherwise(" pc"), F.col("l_suppkey").cast("string")).alias("computer_serial"),
+        F.when(F.col("l_partkey") % 50 == 0, "").otherwise(F.concat(F.lit("d"), F.col("l_partkey").cast("string"))).alias("drive_serial"),
+    )
+    both = all_pairs(raw.filter("source = 'file'"), raw.filter("source = 'paste'"))
+    first = tracker.import_pairs(both, "one", RUN_1, "ida")
+    tracker.import_pairs(both, "one", RUN_1, "ida")
+    stored = tracker.links().agg(F.count(F.lit(1)).alias("links"), F.sum("seen_count").alias("seen"))
+    imports = tracker.store.log("imports").agg(F.count(F.lit(1)).cast("int").alias("imports"))
+    return links.side_by_side(first, stored, imports)
+
+
 # --- bundle loads -----------------------------------------------------------------
 
 SQL_BUNDLES = """
@@ -513,6 +568,28 @@ def bulk_ingest(t):
     return bundles.bulk_summary(done, empty(t, schemas.ASSET))
 
 
+@query(
+    "bundle_load",
+    f"""
+    WITH {SQL_BUNDLES.replace("WHERE doc_id IN (SELECT doc_id FROM labels)", "WHERE false")} {_outcomes_sql("'asset_mismatch'")}
+    SELECT 'assets' AS name, count(DISTINCT asset_tag) AS n FROM outcomes WHERE outcome <> 'failed'
+    UNION ALL SELECT unnest(['scans', 'touches']), (SELECT count(*) FROM outcomes WHERE outcome = 'created')
+    UNION ALL SELECT 'accepted again', count(*) FROM outcomes WHERE outcome <> 'failed'
+    """,
+)
+def bundle_load(t):
+    """Stored rows after a bulk load that is made twice, the second time with all documents listed twice."""
+    tracker = Tracker(t.spark, shared_dir(t.spark, "load"))
+    found = document_bundles(t)
+    tracker.load_bundles(found, RUN_1, "ida", note="Bulk upload")
+    again = tracker.load_bundles(found.union(found), RUN_2, "ida", note="Bulk upload")
+    tables = {"assets": tracker.assets(), "scans": tracker.scans(), "touches": tracker.store.log("touches")}
+    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in tables.items()]
+    twice = again.filter("outcome = 'duplicate'").select("file_name").distinct()
+    counts.append(twice.agg(F.lit("accepted again").alias("name"), F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(
     "bulk_errors",
     f"WITH {SQL_BUNDLES} {_outcomes_sql(chr(39) + 'asset_mismatch' + chr(39))} SELECT file_name, asset_tag, error FROM outcomes WHERE outcome = 'failed' ORDER BY file_name LIMIT 5",
