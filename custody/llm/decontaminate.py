@@ -98,9 +98,12 @@ def marked_places(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def windows(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc_id, size, start, body): the words of each marked window, one blank between."""
-    texts = docs.where("doc_id is not null").select("doc_id", split_words(F.col("text")).alias("words"))
     starts = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["low"], r["high"]))))
-    joined = texts.join(places.select(F.col("doc_id").alias("marked"), "size", "n", starts.alias("starts")), F.col("doc_id") == F.col("marked")).where(F.size("words") == F.col("n"))
+    marked = places.select(F.col("doc_id").alias("marked"), "size", "n", starts.alias("starts"))
+    # the text travels, not its words, and always by shuffle: marked documents grow with the corpus
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    joined = texts.join(marked.hint("merge"), F.col("doc_id") == F.col("marked"))
+    joined = joined.select("doc_id", "size", "n", "starts", split_words(F.col("text")).alias("words")).where(F.size("words") == F.col("n"))
     opened = joined.select("doc_id", "size", "words", F.explode("starts").alias("start"))
     return opened.select("doc_id", "size", "start", F.array_join(F.expr("slice(words, start + 1, size)"), " ").alias("body"))
 
@@ -122,12 +125,14 @@ def near_pairs(prints: DataFrame, items: DataFrame) -> DataFrame:
     return met.where(F.bit_count(apart) <= RADIUS).where(earliest == F.col("block")).withColumn("hamming", F.bit_count(apart)).drop("block", "value")
 
 
-def numbered_shingles(words: Column) -> Column:
-    """Shingle hashes, each with its how-manieth occurrence, so that sets of them are multisets of shingles."""
-    size = F.greatest(F.size(words) - SHINGLE, F.lit(0))
-    plain = F.transform(F.sequence(F.lit(0), size), lambda i: shingle(words, i, SHINGLE))
-    ordered = F.array_sort(plain)
-    return F.transform(ordered, lambda x, i: F.xxhash64(x, i - F.array_position(ordered, x)))
+def numbered_shingles(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name) of rows (keys, words): shingle hashes, each with its how-manieth occurrence,
+    so that sets of them are multisets of shingles."""
+    size = F.greatest(F.size("words") - SHINGLE, F.lit(0))
+    plain = F.transform(F.sequence(F.lit(0), size), lambda i: shingle(F.col("words"), i, SHINGLE))
+    # a column of its own: inside the next step's lambda the sort would run once an element
+    ordered = rows.select(*keys, F.array_sort(plain).alias("ordered"))
+    return ordered.select(*keys, F.transform("ordered", lambda x, i: F.xxhash64(x, i - F.array_position("ordered", x))).alias(name))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -140,12 +145,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     prints = fingerprints(bodies, ["size", "h1", "h2"])
     item_prints = fingerprints(items, ["item_key", "size"]).withColumnRenamed("fp", "item_fp")
     pairs = written(near_pairs(prints, item_prints).select("size", "h1", "h2", "item_key", "hamming"), "pairs")
-    texts = bodies.select("size", "h1", "h2", F.col("words").alias("own"))
-    full = pairs.join(texts, ["size", "h1", "h2"]).join(items.select("item_key", "item_id", F.col("words").alias("theirs")), "item_key")
-    a, b = F.col("a"), F.col("b")
-    shared = F.size(F.array_intersect(a, b))
-    judged = full.select("size", "h1", "h2", "item_id", "hamming", numbered_shingles(F.col("own")).alias("a"), numbered_shingles(F.col("theirs")).alias("b"))
-    judged = judged.select("size", "h1", "h2", "item_id", "hamming", (shared / (F.size(a) + F.size(b) - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
+    # shingles are numbered once for each text that is in a pair
+    key = ["size", "h1", "h2"]
+    asked = bodies.join(pairs.select(*key).distinct(), key, "left_semi")
+    own = written(numbered_shingles(asked, key, "own"), "own-shingles")
+    theirs = written(numbered_shingles(items, ["item_key", "item_id"], "theirs"), "their-shingles")
+    met = pairs.join(own, key).join(theirs, "item_key")
+    shared = F.size(F.array_intersect("own", "theirs"))
+    counted = written(met.select(*key, "item_id", "hamming", shared.alias("shared"), (F.size("own") + F.size("theirs")).alias("both")), "counted")
+    judged = counted.withColumn("similarity", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    judged = judged.select(*key, "item_id", "hamming", "similarity")
     matches = found.select("doc_id", "size", "start", "h1", "h2").join(judged, ["size", "h1", "h2"])
     best = F.max_by(F.struct("start", "size", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     return matches.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.start", F.col("m.size").alias("n_words"), "m.hamming", "m.similarity")
