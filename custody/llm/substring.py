@@ -92,7 +92,7 @@ def _cut(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
                     raw = body.tobytes()
                     # the place of the anchor tells apart equal words under another anchor place
                     content = xxhash.xxh3_64_intdigest(raw, seed=int(place[k] - first[k])) - (1 << 63)
-                    out.append((int(anchor[k].view(np.int64)), content, doc_id, int(first[k]), int(last[k] - first[k]) + 1, (body >> np.uint64(32)).astype(np.uint32).tobytes() + (body & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
+                    out.append((int(anchor[k].view(np.int64)), content, doc_id, int(first[k]), int(last[k] - first[k]) + 1, (body >> np.uint64(32)).astype(np.uint32).tobytes() + (body & np.uint64(0xFF)).astype(np.uint8).tobytes()))
                 if len(out) > 20_000:
                     yield as_batch(out)
                     out = []
@@ -103,14 +103,14 @@ def _cut(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "content", "doc_id", "first", "n", "body"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(repeated, "doc_id").select("doc_id", "text", "places")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(repeated.hint("merge"), "doc_id").select("doc_id", "text", "places")
     return texts.mapInArrow(run, "anchor long, content long, doc_id long, first int, n int, body binary")
 
 
 def _body(raw: bytes) -> np.ndarray:
-    """Words of a context, 48 bits each."""
-    n = len(raw) // 6
-    return (np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(raw, np.uint16, n, 4 * n)
+    """Words of a context, 40 bits each: windows that differ in one word are taken as equal once in 10**12."""
+    n = len(raw) // 5
+    return (np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(raw, np.uint8, n, 4 * n)
 
 
 def repeated_windows(rows: list[tuple], window: int) -> list[int]:
@@ -167,7 +167,8 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     digests = written(digests, "digests")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     copies = written(digests.join(firsts.where("first_id < last_id"), "digest").where(F.col("doc_id") > F.col("first_id")).where(F.col("n_words") >= window).select("doc_id").distinct(), "copies")
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that both sides of the join are plain shuffles and a very common anchor can be split
+    again = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     places = anchors.join(again, "anchor").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     places = written(places.join(copies, "doc_id", "left_anti"), "places")
     cut = written(_cut(docs, places, window), "contexts")
@@ -205,7 +206,7 @@ def _joined(docs: DataFrame, window: int) -> DataFrame:
     """(row, marked_id, copied, places, bits): each document whole, as one struct, beside its marks."""
     whole = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct(*docs.columns).alias("row"))
     found = marks(docs.select("doc_id", "text"), window).withColumnRenamed("doc_id", "marked_id")
-    return whole.join(found, F.col("own_id") == F.col("marked_id"), "left").select("row", "marked_id", "copied", "places", "bits")
+    return whole.join(found.hint("merge"), F.col("own_id") == F.col("marked_id"), "left").select("row", "marked_id", "copied", "places", "bits")
 
 
 def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
