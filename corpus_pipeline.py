@@ -29,7 +29,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates (five-word shingles, 0.8)."""
     found = written(neardup.near_duplicates(docs, size=5, percent=80), "near-duplicates")
-    left = docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(found.where(~F.col("kept")).select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if twice.isEmpty():
         return left
@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in which no window matches a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     found = decontaminate.contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(written(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(written(found, "contaminated").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
