@@ -5,11 +5,13 @@
 2. Independent trees branch the classes: a node picks, by a hash of itself, BRANCHES of the
    minwise functions, and a class goes to the child of each picked function and its token
    there. A pair of similarity J goes on together along a branch with probability J, so with
-   two branches it meets in a tree of any depth with more than 0.93 at J = 0.8, and misses all
-   TREES trees with less than 1 in 40,000. Nodes of at most NODE classes are compared
+   two branches it meets in a tree of DEPTH levels with more than 0.94 at J = 0.8, and misses
+   all TREES trees with about 1 in 80,000. Nodes of at most NODE classes are compared
    exhaustively, by two bits of every minwise value. Larger nodes are compared with their
-   first class; if all are close to it the node is finished, else it branches again.
-   What still is large after LEVELS levels is linked to its first class unseen.
+   first class; if all are close to it the node is finished, else it goes on, by one function
+   a level, so that rows don't multiply (a pair has some 16 of the 32 leaves in common, and
+   keeps at least half of them over three more levels). What still is large after LEVELS
+   levels is linked to its first class unseen.
 3. Links join classes into candidate groups, a superset of the true ones. In each group the
    full sets are compared exactly: a search from class to class that asks only for classes not
    reached yet. A group of more than CHUNK classes is cut into chunks, each with the group's
@@ -38,6 +40,7 @@ HASHES = 128
 TREES, BRANCHES, DEPTH, LEVELS = 4, 2, 3, 4
 NODE = 48
 CHUNK = 200
+SALTS = 32
 # 2-bit agreement of sets at similarity J is J + (1 - J) / 4 of HASHES; five deviations are
 # left below what J = 0.8 gives, so a link is lost here once in some million.
 _FAR = HASHES - 88
@@ -56,11 +59,11 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def children(nodes: np.ndarray, mins: np.ndarray) -> np.ndarray:
-    """(n, m) nodes of n classes to their (n, m * BRANCHES) children."""
+def children(nodes: np.ndarray, mins: np.ndarray, branches: int = BRANCHES) -> np.ndarray:
+    """(n, m) nodes of n classes to their (n, m * branches) children."""
     picked = words.mix(nodes + np.uint64(0x1234567))
     out = []
-    for j in range(BRANCHES):
+    for j in range(branches):
         at = (picked >> np.uint64(8 * j)) % np.uint64(HASHES // BRANCHES) + np.uint64(j * (HASHES // BRANCHES))
         token = np.take_along_axis(mins, at.astype(np.int64), axis=1).astype(np.uint64)
         out.append(words.mix((nodes * np.uint64(0x9E3779B97F4A7C15)) ^ words.mix(token + (at << np.uint64(32)))))
@@ -121,7 +124,7 @@ def _branched(reps: DataFrame, from_node: bool) -> DataFrame:
             mins = _mins_of(batch.column("mins"))
             rep = batch.column("rep").to_numpy()
             if from_node:
-                nodes = children(batch.column("node").to_numpy().view(np.uint64)[:, None], mins)
+                nodes = children(batch.column("node").to_numpy().view(np.uint64)[:, None], mins, branches=1)
             else:
                 nodes = roots(mins)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1).view(np.int64)), pa.array(np.repeat(rep, nodes.shape[1]))], ["node", "rep"])
@@ -193,9 +196,11 @@ def candidate_links(reps: DataFrame) -> DataFrame:
             links = links.union(large.select("pivot", "rep"))
             found = links if found is None else found.union(links)
             break
-        first = large.select("pivot").distinct().join(sketches, F.col("pivot") == F.col("rep")).select("pivot", *[F.col(c).alias(f"p{c}") for c in s])
+        # one pivot may lead a third of all rows: its rows are salted, and it is copied to every salt
+        first = large.select("pivot").distinct().join(sketches, F.col("pivot") == F.col("rep"))
+        first = first.select("pivot", *[F.col(c).alias(f"p{c}") for c in s], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         apart = sum((F.bit_count((F.col(c).bitwiseXOR(F.col(f"p{c}"))).bitwiseOR(F.shiftrightunsigned(F.col(c).bitwiseXOR(F.col(f"p{c}")), 1)).bitwiseAND(F.lit(_LOW))) for c in s), F.lit(0))
-        seen = written(large.join(sketches, "rep").join(first, "pivot").select("node", "rep", "pivot", "n", (apart <= _FAR).alias("near")), "large")
+        seen = written(large.join(sketches, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(first, ["pivot", "salt"]).select("node", "rep", "pivot", "n", (apart <= _FAR).alias("near")), "large")
         links = written(links.union(seen.where("near").select("pivot", "rep")), "links")
         found = links if found is None else found.union(links)
         still = seen.groupBy("node", "n").agg(F.count_if("near").alias("near")).where("near < n").select("node")
@@ -283,8 +288,9 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, percent: int) ->
             sets = [words.shingle_set(words.word_hashes(t, lower=True), size).tobytes() for t in words.binaries(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "grp", "chunks")), pa.array(sets, pa.binary())], ["rep", "grp", "chunks", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(counted, "rep").select("rep", "grp", "chunks", "text")
-    sets = texts.mapInArrow(run, "rep long, grp long, chunks int, set binary")
+    # always by shuffle: candidates grow with the corpus, so one plan serves all sizes
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(counted.hint("merge"), "rep").select("rep", "grp", "chunks", "text")
+    sets = written(texts.mapInArrow(run, "rep long, grp long, chunks int, set binary"), "sets")
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     all_chunks = F.sequence(F.lit(0), F.col("chunks") - 1)
     rows = sets.select("rep", "grp", "chunks", "set", F.explode(F.when(F.col("rep") == F.col("grp"), all_chunks).otherwise(F.array(own))).alias("chunk"))
