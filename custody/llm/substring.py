@@ -8,7 +8,10 @@ document of a smaller id or earlier in the same one. All words covered by repeat
    place are neighbours and make up a context. Only contexts whose anchor occurs again are used.
 2. Contexts are dealt to shards by anchor. A shard indexes its distinct contexts (equal ones
    once, with their first place) in an FM-index and streams them through backward search;
-   each window's matches tell its first place in the corpus.
+   each window's matches tell its first place in the corpus. An anchor of more than
+   SHARD_CONTEXTS places can have that many distinct contexts, so it goes to no shard: the
+   windows of its distinct contexts meet by fingerprint, in an aggregate and a join that
+   Spark combines and splits.
 3. Marks of windows go back to their documents.
 
 A document equal to an earlier one is settled by its digest: all of it goes. A passage that a
@@ -79,32 +82,34 @@ def shares(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _cut(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, doc_id, first, n, body): contexts at the given places of each document."""
+    """(anchor, hot, content, doc_id, first, n, body): contexts at the given places of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), words.binaries(batch.column("text")), batch.column("places"), strict=True):
+            columns = [batch.column(c) for c in ("places", "hot")]
+            for doc_id, text, places, crowded in zip(batch.column("doc_id").to_pylist(), words.binaries(batch.column("text")), *columns, strict=True):
                 hashes = words.word_hashes(text)
                 anchor, place, first, last = contexts(hashes, window)
+                hot = np.isin(place, crowded.values.to_numpy())
                 for k in np.flatnonzero(np.isin(place, places.values.to_numpy())).tolist():
                     body = hashes[first[k] : last[k] + window]
                     raw = body.tobytes()
                     # the place of the anchor tells apart equal words under another anchor place
                     content = xxhash.xxh3_64_intdigest(raw, seed=int(place[k] - first[k])) - (1 << 63)
-                    out.append((int(anchor[k].view(np.int64)), content, doc_id, int(first[k]), int(last[k] - first[k]) + 1, (body >> np.uint64(32)).astype(np.uint32).tobytes() + (body & np.uint64(0xFF)).astype(np.uint8).tobytes()))
+                    out.append((int(anchor[k].view(np.int64)), bool(hot[k]), content, doc_id, int(first[k]), int(last[k] - first[k]) + 1, (body >> np.uint64(32)).astype(np.uint32).tobytes() + (body & np.uint64(0xFF)).astype(np.uint8).tobytes()))
                 if len(out) > 20_000:
                     yield as_batch(out)
                     out = []
             yield as_batch(out)
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "content", "doc_id", "first", "n", "body"])
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "hot", "content", "doc_id", "first", "n", "body"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(repeated.hint("merge"), "doc_id").select("doc_id", "text", "places")
-    return texts.mapInArrow(run, "anchor long, content long, doc_id long, first int, n int, body binary")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(repeated.hint("merge"), "doc_id").select("doc_id", "text", "places", "hot")
+    return texts.mapInArrow(run, "anchor long, hot boolean, content long, doc_id long, first int, n int, body binary")
 
 
 def _body(raw: bytes) -> np.ndarray:
@@ -159,6 +164,31 @@ def _searched(distinct: DataFrame, shards: int, window: int) -> DataFrame:
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "anchor long, content long, doc_id long, first int, bits long")
 
 
+def _fingerprinted(distinct: DataFrame, window: int) -> DataFrame:
+    """(doc_id, first, bits) of the windows of distinct contexts that start earlier elsewhere, one window a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 5000):
+                part = batch.slice(at, 5000)
+                texts = [_body(b) for b in part.column("body").to_pylist()]
+                lengths = np.array([len(t) for t in texts])
+                counts = lengths - window + 1
+                ends = np.cumsum(counts)
+                k = np.arange(ends[-1]) - np.repeat(ends - counts, counts)  # window of its context
+                prints = words.grams(np.concatenate(texts), window)[np.repeat(np.cumsum(lengths) - lengths, counts) + k]
+                start = (np.repeat(part.column("first").to_numpy(), counts) + k).astype(np.int32)
+                columns = [np.repeat(part.column(c).to_numpy(), counts) for c in ("anchor", "doc_id")]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(prints.view(np.int64)), pa.array(columns[1]), pa.array(start)], ["anchor", "print", "doc_id", "start"])
+
+    prints = written(distinct.mapInArrow(run, "anchor long, print long, doc_id long, start int"), "prints")
+    firsts = prints.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are plain shuffles and a very common window can be split
+    firsts = written(firsts.select("anchor", "print", F.col("at.doc_id").alias("own_id"), F.col("at.start").alias("own_start")), "firsts")
+    later = prints.join(firsts.hint("merge"), ["anchor", "print"]).where("doc_id > own_id or (doc_id = own_id and start > own_start)")
+    return later.select("doc_id", F.col("start").alias("first"), F.lit(1).cast("long").alias("bits"))
+
+
 def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, copied, places, bits): one row per document that may lose words."""
     if not ANCHOR <= window < ANCHOR + 64:
@@ -168,17 +198,28 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     copies = written(digests.join(firsts.where("first_id < last_id"), "digest").where(F.col("doc_id") > F.col("first_id")).where(F.col("n_words") >= window).select("doc_id").distinct(), "copies")
     # written, so that both sides of the join are plain shuffles and a very common anchor can be split
-    again = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    places = anchors.join(again, "anchor").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    again = written(again.select("anchor", (F.col("n") > SHARD_CONTEXTS).alias("hot")), "anchors")
+    places = anchors.join(again, "anchor").groupBy("doc_id").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("hot"), F.col("place"))).alias("hot"))
     places = written(places.join(copies, "doc_id", "left_anti"), "places")
     cut = written(_cut(docs, places, window), "contexts")
-    distinct = cut.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.first("body").alias("body"), F.count("*").alias("n"))
-    distinct = distinct.select("anchor", "content", "at.doc_id", "at.first", "body")
-    shards = max(1, -(-cut.count() // SHARD_CONTEXTS))
-    found = _searched(distinct, shards, window).withColumnsRenamed({"doc_id": "own_id", "first": "own_first"})
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        merged = rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.first("body").alias("body"))
+        return merged.select("anchor", "content", "at.doc_id", "at.first", "body")
+
+    shards = max(1, -(-cut.where("not hot").count() // SHARD_CONTEXTS))
+    found, windows = _searched(distinct(cut.where("not hot")), shards, window), None
+    if not again.where("hot").isEmpty():
+        crowded = written(distinct(cut.where("hot")), "crowded")
+        windows = _fingerprinted(crowded.select("anchor", "doc_id", "first", "body"), window)
+        # windows of first places are marked one by one, all others through their contexts
+        found = found.union(crowded.select("anchor", "content", "doc_id", "first", F.lit(0).cast("long")))
+    found = found.withColumnsRenamed({"doc_id": "own_id", "first": "own_first"})
     own = (F.col("doc_id") == F.col("own_id")) & (F.col("first") == F.col("own_first"))
     all_bits = F.when(F.col("n") >= 64, F.lit(-1)).otherwise(F.expr("shiftleft(1L, n) - 1"))
     hits = cut.select("anchor", "content", "doc_id", "first", "n").join(found, ["anchor", "content"]).select("doc_id", "first", F.when(own, F.col("bits")).otherwise(all_bits).alias("bits"))
+    hits = hits if windows is None else hits.union(windows)
     per_doc = hits.where("bits <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("first", "bits")).alias("m"))
     marked = per_doc.select("doc_id", F.lit(False).alias("copied"), F.col("m.first").alias("places"), F.col("m.bits").alias("bits"))
     return marked.union(copies.select("doc_id", F.lit(True), F.lit(None), F.lit(None)))

@@ -364,6 +364,24 @@ def test_repeated_passages(spark, monkeypatch, window, letters):
             assert hashlib.sha256(texts[i].text.encode()).hexdigest() == digest and texts[i].n_chars == len(texts[i].text) and texts[i].places == "places"
 
 
+def test_one_passage_in_many_differing_documents(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(30))
+    docs = [(k, " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(25)), passage, *(f"b{rng.randrange(40)}" for _ in range(25))])) for k in range(120)]
+    docs += [(200, docs[5][1] + " more"), (201, f"{passage} {passage} {passage}"), (202, docs[5][1])]
+    largest, searched = [], substring._searched
+
+    def counted(distinct, *rest):
+        largest.append(max((r["count"] for r in distinct.groupBy("anchor").count().collect()), default=0))
+        return searched(distinct, *rest)
+
+    monkeypatch.setattr(substring, "SHARD_CONTEXTS", 20)
+    monkeypatch.setattr(substring, "_searched", counted)
+    got = {r.doc_id: tuple(r)[1:] for r in substring.kept_digests(documents(spark, docs), 20).collect()}
+    assert got == brute_removed(docs, 20)
+    assert max(largest) <= 20
+
+
 def test_repeated_passages_of_odd_rows(spark):
     rows = [*ODD, (None, LONG)]
     got = [(r.doc_id, r.n_removed) for r in substring.kept_digests(documents(spark, rows), 5).collect()]
