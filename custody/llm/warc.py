@@ -8,7 +8,7 @@ the shard, then of the block in the directory, then in the opened block; ``read_
 the byte ranges found. Keys that are captured very often are spread by record id, which is
 part of the sort order.
 
-Defined cases: a null page is an empty payload; a null url has an empty key; blanks and
+Defined cases: a null page is an empty payload; a null url is an empty address; blanks and
 control characters of an address are percent-encoded in the record's address line; repeated
 page ids are records of their own, and each that has the smallest id of its payload is a response.
 """
@@ -48,6 +48,11 @@ def surt(url: Column) -> Column:
     return F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest), F.lit(""))
 
 
+def address(url: Column) -> Column:
+    """The address line of a record: blanks and control characters percent-encoded, null as empty."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(url, r"[\x00-\x1f\x7f]", "%0A"), " ", "%20"), F.lit(""))
+
+
 def planned(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, url, payload, payload_bytes, digest, refers_to); refers_to is null for responses."""
     payload = F.coalesce(F.col("html"), F.lit(""))
@@ -63,7 +68,6 @@ def planned(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def record(id_: Column, url: Column, payload: Column, size: Column, digest: Column, refers_to: Column) -> Column:
     """Text of a record, without the two line ends after it."""
-    address = F.coalesce(F.regexp_replace(F.regexp_replace(url, r"[\x00-\x1f\x7f]", "%0A"), " ", "%20"), F.lit(""))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(EOL))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     again = refers_to.isNotNull()
@@ -72,7 +76,7 @@ def record(id_: Column, url: Column, payload: Column, size: Column, digest: Colu
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(id_)),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", address),
+        line("WARC-Target-URI", address(url)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
         F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(refers_to)))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -101,7 +105,7 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
         lines = content[at:end].decode().split(EOL)
         if not lines[0].startswith("WARC/1."):
             raise ValueError(f"no WARC record at byte {at}")
-        fields = {name.lower(): value.strip() for name, _, value in (x.partition(":") for x in lines[1:])}
+        fields = {name.lower(): value.strip(" \t") for name, _, value in (x.partition(":") for x in lines[1:])}
         block, size = end + 4, int(fields["content-length"])
         start = block
         if fields.get("content-type", "").startswith("application/http"):
@@ -235,7 +239,7 @@ def roundtrip(pages: DataFrame) -> DataFrame:
     write_archive(pages, archive)
     entries = captures(spark, archive)
     build_index(entries, index, shards=max(1, -(-pages.count() // SHARD_ROWS), spark.sparkContext.defaultParallelism))
-    keys = pages.select(surt(F.regexp_replace(F.regexp_replace("url", r"[\x00-\x1f\x7f]", "%0A"), " ", "%20")).alias("key"))
+    keys = pages.select(surt(address(F.col("url"))).alias("key"))
     read = read_ranges(spark, archive, lookup(spark, index, keys)).select(
         "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest")
     )

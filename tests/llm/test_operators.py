@@ -321,6 +321,13 @@ def test_archive_index_and_ranges(spark, tmp_path):
         list(warc.parse(b"no archive\r\n\r\n"))
 
 
+@pytest.mark.parametrize("urls_", [[None], [""], ["http://h/p\u00a0"], ["http://h/p\u0085", "\u3000http://h/q", "\u3000", "http://h/r\t "]])
+def test_pages_of_odd_addresses_come_back(spark, urls_):
+    rows = [(1, "http://other/", "a"), *((k, u, "b" * k) for k, u in enumerate(urls_, 2))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.roundtrip(pages).collect()) == [(i, len(h)) for i, _, h in rows]
+
+
 # --- 7: repeated passages ------------------------------------------------------------------
 
 
