@@ -8,10 +8,9 @@
    two branches it meets in a tree of DEPTH levels with more than 0.94 at J = 0.8, and misses
    all TREES trees with about 1 in 80,000. Nodes of at most NODE classes are compared
    exhaustively, by two bits of every minwise value. Larger nodes are compared with their
-   first class; if all are close to it the node is finished, else it goes on, by one function
-   a level, so that rows don't multiply (a pair has some 16 of the 32 leaves in common, and
-   keeps at least half of them over three more levels). What still is large after LEVELS
-   levels is linked to its first class unseen.
+   first class; if all are close to it the node is finished, else it goes on, again by
+   BRANCHES functions a level. What still is large after LEVELS levels is linked to its
+   first class unseen.
 3. Links join classes into candidate groups, a superset of the true ones. In each group the
    full sets are compared exactly: a search from class to class that asks only for classes not
    reached yet. A group of more than CHUNK classes is cut into chunks, each with the group's
@@ -59,11 +58,11 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def children(nodes: np.ndarray, mins: np.ndarray, branches: int = BRANCHES) -> np.ndarray:
-    """(n, m) nodes of n classes to their (n, m * branches) children."""
+def children(nodes: np.ndarray, mins: np.ndarray) -> np.ndarray:
+    """(n, m) nodes of n classes to their (n, m * BRANCHES) children."""
     picked = words.mix(nodes + np.uint64(0x1234567))
     out = []
-    for j in range(branches):
+    for j in range(BRANCHES):
         at = (picked >> np.uint64(8 * j)) % np.uint64(HASHES // BRANCHES) + np.uint64(j * (HASHES // BRANCHES))
         token = np.take_along_axis(mins, at.astype(np.int64), axis=1).astype(np.uint64)
         out.append(words.mix((nodes * np.uint64(0x9E3779B97F4A7C15)) ^ words.mix(token + (at << np.uint64(32)))))
@@ -124,7 +123,7 @@ def _branched(reps: DataFrame, from_node: bool) -> DataFrame:
             mins = _mins_of(batch.column("mins"))
             rep = batch.column("rep").to_numpy()
             if from_node:
-                nodes = children(batch.column("node").to_numpy().view(np.uint64)[:, None], mins, branches=1)
+                nodes = children(batch.column("node").to_numpy().view(np.uint64)[:, None], mins)
             else:
                 nodes = roots(mins)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1).view(np.int64)), pa.array(np.repeat(rep, nodes.shape[1]))], ["node", "rep"])

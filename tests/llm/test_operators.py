@@ -7,6 +7,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,30 @@ def test_near_duplicates(spark, monkeypatch, node, chunk):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+def test_pairs_meet_through_large_nodes():
+    rng = np.random.default_rng(1)
+    n = 4_000
+    left = rng.integers(0, 2**32, (n, neardup.HASHES), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < 0.8, left, rng.integers(0, 2**32, left.shape, dtype=np.uint32))
+
+    def leaves(mins):
+        class Rows:  # hands out what _branched runs, without a cluster
+            def mapInArrow(self, run, _):
+                return run
+
+        nodes, rep = neardup.roots(mins).reshape(-1), np.repeat(np.arange(n), neardup.roots(mins[:1]).shape[1])
+        step = neardup._branched(Rows(), from_node=True)
+        for _ in range(neardup.LEVELS - 1):
+            raw = pa.array([mins[i].tobytes() for i in range(n)], pa.binary()).take(pa.array(rep))
+            (made,) = step([pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(rep), raw], ["node", "rep", "mins"])])
+            nodes, rep = made.column("node").to_numpy().view(np.uint64), made.column("rep").to_numpy()
+        return nodes, rep
+
+    (a, of_a), (b, of_b) = leaves(left), leaves(right)
+    met = np.unique(of_a[a == b]) if len(a) == len(b) and (of_a == of_b).all() else []
+    assert n - len(met) <= 2  # with one function a level some 8 are missed
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(documents(spark, ODD), size=2).collect())
     assert got == {(1, 1, True): 2, (2, 2, True): 1, (3, 3, True): 1, (4, 4, True): 1, (5, 1, False): 1, (6, 6, True): 1, (7, 6, False): 1, (8, 8, True): 1, (None, None, True): 1, (9, 9, True): 1}
