@@ -136,7 +136,12 @@ def numbered_shingles(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, start, n_words, hamming, similarity): the best window of each matching pair."""
+    """(doc_id, item_id, start, n_words, hamming, similarity): the best window of each matching pair.
+
+    The fingerprints' RADIUS is made for SIMILARITY and more.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError(f"fingerprints find pairs of similarity {SIMILARITY} and more")
     items = written(item_table(benchmark), "items")
     places = written(marked_places(docs, items), "places")
     found = written(windows(docs, places).withColumns({"h1": F.xxhash64("body"), "h2": F.xxhash64(F.lit(1), "body")}), "windows")

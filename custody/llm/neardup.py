@@ -314,7 +314,9 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, percent: int) ->
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per document."""
+    """(doc_id, n_shingles, component_id, kept), one row per document; candidates are sought for 80 percent and more."""
+    if percent < 80:
+        raise ValueError("trees and sketches find links of 80 percent and more")
     own = written(signatures(docs, size), "signatures")
     full = own.where("doc_id is not null and digest is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))

@@ -319,6 +319,13 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(documents(spark, ODD).limit(0)).count() == 0
 
 
+def test_thresholds_below_the_search_are_refused():
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(None, percent=79)
+    with pytest.raises(ValueError):
+        decontaminate.contaminated(None, None, similarity=0.79)
+
+
 # --- 6: archives ---------------------------------------------------------------------------
 
 
