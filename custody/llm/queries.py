@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custody.llm import decontaminate, language, neardup, packing, quality, substring, toxicity, urls, vectors, warc
+from custody.llm import decontaminate, language, manifest, neardup, packing, quality, runs, substring, toxicity, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,15 @@ def quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.learn(docs, labels, ~held_out(F.col("doc_id")))
     found = quality.score(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "meta_score")
+
+
+@query("op12_merkle_manifest", manifest.ORACLE)
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return manifest.prove(manifest.leaves(docs, claimed=tampered))
+
+
+@query("op13_periodic_runs", runs.ORACLE)
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digests(runs.repetitions(runs.planted(table(spark, folder, "documents"))))
