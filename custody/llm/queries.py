@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custody.llm import decontaminate, language, manifest, neardup, packing, quality, runs, substring, toxicity, urls, vectors, warc
+from custody.llm import decontaminate, language, manifest, mixing, neardup, packing, quality, runs, substring, toxicity, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +100,15 @@ def quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "meta_score")
 
 
+@query("op11_context_mixing")
+def context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    found = mixing.score(docs, ~held)
+    first = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
+    return found.select("doc_id", held.alias("held_out"), *first)
+
+
 @query("op12_merkle_manifest", manifest.ORACLE)
 def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
