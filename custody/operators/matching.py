@@ -86,15 +86,33 @@ def decide(
     result is to be appended. ``recompute``: all drives are decided again and the
     result replaces this version's rows; unchanged ones keep ``decided_at``.
     """
-    if mode not in ("frozen", "recompute"):
-        raise ValueError(f"unknown mode {mode!r}")
     universe = drives.select("serial_norm")
     past = None if decisions is None else decisions.filter(F.col("rule_version") == version)
     if mode == "frozen" and past is not None:
         universe = universe.join(past.select("serial_norm"), "serial_norm", "left_anti")
+        past = None
     paired = universe.join(pair_sides(events), "serial_norm", "left").na.fill(
         0, ["removed_count", "shredded_count"]
     )
+    return decide_pairs(paired, run_ts, past, mode, version)
+
+
+def decide_pairs(
+    paired: DataFrame,
+    run_ts: datetime | Column,
+    past: DataFrame | None = None,
+    mode: str = "frozen",
+    version: str = STRICT_V1,
+) -> DataFrame:
+    """Decision rows of drives given with their counts and earliest events.
+
+    ``past`` holds this version's stored decisions of these drives: with ``frozen``
+    they stay and their drives get none, with ``recompute`` unchanged ones keep their time.
+    """
+    if mode not in ("frozen", "recompute"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "frozen" and past is not None:
+        paired = paired.join(past.select("serial_norm"), "serial_norm", "left_anti")
     decided = RULES[version](paired).select(
         key_hash("serial_norm", F.lit(version)).alias("decision_id"),
         "serial_norm", "removed_event_id", "shredded_event_id", "decision",
