@@ -7,6 +7,7 @@ deduplication state has to be kept.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from custody.operators import merge
+from custody.plans.incremental import IncrementalLedger
 from custody.plans.ledger import Ledger
 from custody.sinks.snapshots import TableStore
 
@@ -51,6 +53,31 @@ def poll(
     return writer.start()
 
 
+def poll_changes(
+    rows: DataFrame,
+    ledger: IncrementalLedger,
+    checkpoint: str,
+    clock: Callable[[], datetime] = now,
+    mode: str = "frozen",
+    once: bool = False,
+) -> StreamingQuery:
+    """The same over a bucketed ledger: every micro-batch is a load, its work follows its own rows.
+
+    A load is named after the stream and the batch, so a batch that is replayed after a stop
+    completes what it began; a stream that lost its checkpoint has another name and finds
+    all rows stored.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stream = spark.read.text(f"{checkpoint}/metadata").first()[0]
+        ledger.process(batch, clock(), f"{json.loads(stream)['id']}-{batch_id:09d}", mode)
+
+    writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL_INTERVAL)
+    return writer.start()
+
+
 def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Parquet stream of a table folder, or of one file (a stream source wants its folder)."""
     jvm = spark.sparkContext._jvm
