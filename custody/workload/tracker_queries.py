@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from custody import schemas
 from custody.operators import audit, bundles, links
+from custody.plans.read_model import AssetReadModel
 from custody.plans.tracker import Tracker
 from custody.session import shared_dir, spread
 from custody.sources.pairs import all_pairs, file_pairs, pasted_pairs
 from custody.sources.rows import csv_rows, sheet_values
 from custody.workload.adapters import RUN_1, RUN_2
-from custody.workload.machines import SQL_MACHINE, documents
+from custody.workload.machines import BUNDLE, SQL_MACHINE, TREE, documents, machines
 from custody.workload.registry import query, sql_ts, ts_text
 
 CUT = "1998-01-01"
@@ -616,3 +617,75 @@ def scan_drives(t):
     return drives.select(
         "asset_tag", "serial", "logicalname", F.coalesce("capacity_bytes", F.lit(-1)).alias("capacity_bytes"), "model"
     )
+
+
+# --- the asset read model ------------------------------------------------------------
+
+# Every seventh order is an older scan: the tree itself, without an envelope.
+OLDER = 7
+
+SQL_DETAILS = f"""
+    {SQL_MACHINE},
+    facts AS (SELECT k, CASE WHEN k % 5 <> 0 THEN 'SYS' || kk WHEN k % 10 <> 0 THEN 'UUID-' || kk WHEN k % 20 <> 0 THEN 'BUS' || kk ELSE 'BRG' || kk END AS device_serial,
+                     CASE WHEN k % 2 = 0 THEN 'CPU B' || (k % 17) ELSE 'CV CPU A' || (k % 17) END AS cpu_info, mem AS memory_total_bytes,
+                     CASE WHEN k % 2 = 1 THEN 'Wireless AC ' || (k % 5) ELSE '—' END AS wifi
+              FROM m),
+    newest AS (SELECT o_custkey, arg_max(k, (o_orderdate, kk)) AS k FROM m GROUP BY 1),
+    found AS (SELECT o_custkey, count(DISTINCT serial) AS n FROM disk JOIN m USING (k) GROUP BY 1),
+    audit AS (SELECT user_id % 50 AS o_custkey, -epoch_us(ts) AS age,
+                     json_object('serial', 'D' || user_id, 'status', CASE event_type WHEN 'error' THEN 'shredded' ELSE 'wiped' END, 'status_note', props)::VARCHAR AS details
+              FROM events),
+    last_audit AS (SELECT o_custkey, least(count(*), 50) AS n, arg_min(details, (age, details)) AS details FROM audit GROUP BY 1)
+"""
+
+
+def machine_scans(t):
+    """Orders as stored scans; the older ones hold the tree alone."""
+    k = F.col("o_orderkey")
+    older = k % OLDER == 0
+    return machines(t).select(
+        F.concat(F.lit("A"), F.col("o_custkey").cast("string")).alias("asset_tag"),
+        F.lpad(k.cast("string"), 12, "0").alias("bundle_hash"),
+        F.col("o_orderdate").cast("timestamp").alias("scanned_at"),
+        F.col("o_orderdate").cast("timestamp").alias("generated_at"),
+        F.when(older, F.expr(TREE)).otherwise(F.expr(BUNDLE)).alias("raw"),
+        k.alias("k"),
+    )
+
+
+@query(
+    "asset_details",
+    f"""
+    WITH {SQL_DETAILS}
+    SELECT 'A' || c.c_custkey AS asset_tag, 'PC-' || c.c_custkey AS computer_serial, device_serial, cpu_info, memory_total_bytes, wifi,
+           coalesce(found.n, 0) AS display_drives, coalesce(found.n, 0) > 0 AS hard_drive_present,
+           coalesce(last_audit.n, 0) AS touches, last_audit.details AS newest_touch
+    FROM customer c LEFT JOIN newest ON newest.o_custkey = c.c_custkey LEFT JOIN facts USING (k)
+    LEFT JOIN found ON found.o_custkey = c.c_custkey LEFT JOIN last_audit ON last_audit.o_custkey = c.c_custkey
+    """,
+)
+def asset_details(t):
+    """Customers as assets, refreshed in two parts of which the second is repeated."""
+    model = AssetReadModel(t.spark, shared_dir(t.spark, "details"), buckets=8)
+    scans = machine_scans(t)
+    found = bundles.scan_drives(
+        bundles.with_facts(bundles.parsed(documents(t)).withColumns({"generated_at": bundles.envelope()["generated_at"]})),
+        ["generated_at", "scan_id"],
+    )
+    drives = model.store.stage("drives", found)
+    tag = F.concat(F.lit("A"), F.col("c_custkey").cast("string"))
+    assets = t.customer.select(
+        tag.alias("asset_tag"), F.lit(RUN_1).cast("timestamp").alias("created_at"), F.lit("ida").alias("created_by"),
+        F.concat(F.lit("PC-"), F.col("c_custkey").cast("string")).alias("computer_serial"),
+        *[F.lit("").alias(c) for c in audit.INTAKE_FIELDS],
+    )
+    touches = audit.status_touches(status_events(t)).join(assets.select("asset_tag"), "asset_tag", "left_semi")
+    early = F.col("touched_at") < "2024-01-16"
+    model.refresh(assets=assets, scans=scans.where(F.col("k") % 2 == 0), touches=touches.where(early))
+    for _ in range(2):
+        model.refresh(scans=scans.where(F.col("k") % 2 == 1), drives=(assets, drives), touches=touches.where(~early))
+    return model.read().select(
+        "asset_tag", "computer_serial", "device_serial", "cpu_info", "memory_total_bytes", F.col("card.wifi_model").alias("wifi"),
+        "display_drives", "hard_drive_present", F.coalesce(F.size("touches"), F.lit(0)).cast("bigint").alias("touches"),
+        F.col("touches")[0]["details"].alias("newest_touch"),
+    )
