@@ -1,10 +1,12 @@
 """The poll loop: results equal batch runs, a replay adds nothing."""
 
 import json
+from datetime import datetime, timedelta
 
+from custody.plans.incremental import IncrementalLedger
 from custody.plans.ledger import Ledger
 from custody.sources.rows import EXPORT_SCHEMA, sheet_values
-from custody.streaming import polling
+from custody.streaming import drive_state, polling
 from tests.conftest import RUN_1, RUN_2
 
 
@@ -40,3 +42,39 @@ def test_late_partner_and_replay(spark, tmp_path):
     assert {n: df.count() for n, df in ledger.tables().items()} == before
     ledger.decide(RUN_2, mode="recompute")
     assert decisions(ledger) == {"D1": ("MATCH", RUN_2), "D2": ("MATCH", RUN_1)}
+
+
+def test_late_partners_over_micro_batches_and_a_lost_checkpoint(spark, tmp_path):
+    folder, ledger = tmp_path / "in", IncrementalLedger(spark, str(tmp_path / "tables"), buckets=2)
+    export(folder, "1.json", "removal_a", [["", "D1", "2024-01-01 00:00:00"], ["", "D2", "2024-01-01 00:00:00"]])
+    export(folder, "2.json", "shred_a", [["D2", "", "2024-01-02 00:00:00"]])
+    export(folder, "3.json", "shred_b", [["D1", "", "2024-01-03 00:00:00"]])
+
+    def drain(checkpoint):
+        grids = spark.readStream.schema(EXPORT_SCHEMA).option("maxFilesPerTrigger", 1).json(str(folder))
+        polling.poll_changes(sheet_values(grids), ledger, checkpoint, clock=lambda: RUN_1, mode="recompute", once=True).awaitTermination()
+
+    drain(str(tmp_path / "cp"))
+    assert ledger.store.read("loads").count() == 3
+    assert {r.serial_norm: r.decision for r in ledger.tables()["decisions"].collect()} == {"D1": "MATCH", "D2": "MATCH"}
+    before = {n: df.count() for n, df in ledger.tables().items() if n not in ("loads", "steps")}
+    drain(str(tmp_path / "cp-lost"))
+    assert {n: df.count() for n, df in ledger.tables().items() if n not in ("loads", "steps")} == before
+
+
+def test_drive_state_counts_over_a_restart_and_forgets_idle_drives(spark, tmp_path):
+    schema = "serial_norm STRING, event_type STRING, event_time TIMESTAMP"
+    day = datetime(2024, 1, 1)
+
+    def drain(name, rows):
+        spark.createDataFrame([(s, t, day + timedelta(days=d)) for s, t, d in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        updates = drive_state.running_sides(spark.readStream.schema(schema).parquet(str(tmp_path / "events")), timedelta(days=5))
+        seen = []
+        writer = updates.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+        writer.foreachBatch(lambda df, n: seen.extend(df.collect())).trigger(availableNow=True).start().awaitTermination()
+        return {(r.serial_norm, r.removed_count, r.shredded_count, r.left) for r in seen}
+
+    assert drain("one", [("D1", "REMOVED", 0), ("D1", "REMOVED", 1), ("D2", "SHREDDED", 1)]) == {("D1", 2, 0, False), ("D2", 0, 1, False)}
+    assert drain("two", [("D1", "SHREDDED", 3)]) == {("D1", 2, 1, False)}  # goes on from the checkpoint
+    assert drain("three", [("D3", "REMOVED", 9)]) == {("D3", 1, 0, False), ("D2", 0, 1, True), ("D1", 2, 1, True)}
+    assert drain("four", [("D1", "SHREDDED", 10)]) == {("D1", 0, 1, False)}  # its state had left

@@ -153,6 +153,37 @@ def test_stopped_loads_and_imports_can_be_repeated(spark, tracker, tmp_path, mon
     assert tracker.store.log("imports").filter("batch_id = 'b9'").count() == 1
 
 
+def test_an_import_stopped_before_its_record_reports_what_it_found(spark, tracker, monkeypatch):
+    """Stopped after its links, another import in between, then repeated: same counts, nothing counted twice."""
+    text = "m1,d1\nm1,d2\nm1,d2\nm2,"
+    real = tracker.store.append
+
+    def stopped(name, rows):
+        if name == "imports_applied" and rows.filter("batch_id = 'one'").count():
+            raise RuntimeError("lost")
+        real(name, rows)
+
+    monkeypatch.setattr(tracker.store, "append", stopped)
+    with pytest.raises(RuntimeError):
+        tracker.import_pairs(pairs_of(spark, text), "one", RUN_1, "ida")
+    monkeypatch.setattr(tracker.store, "append", real)
+    tracker.import_pairs(pairs_of(spark, "m1,d1\nm1,d2"), "two", RUN_1, "ida")
+    for _ in range(2):
+        stats = tracker.import_pairs(pairs_of(spark, text), "one", RUN_2, "ida").first()
+        assert (stats.total_rows, stats.imported_rows, stats.duplicate_rows, stats.error_rows) == (4, 2, 1, 1)
+    assert {r.drive_serial: r.seen_count for r in tracker.links().collect()} == {"D1": 2, "D2": 3}
+    records = {r.batch_id: (r.imported_rows, r.duplicate_rows) for r in tracker.store.log("imports").collect()}
+    assert records == {"one": (2, 1), "two": (0, 2)}
+
+
+def test_audit_rows_are_told_apart_by_all_columns(spark, tracker):
+    touch = "asset_tag STRING, touch_type STRING, touched_by STRING, touched_at TIMESTAMP, details STRING"
+    rows = spark.createDataFrame([("A", "view", "", RUN_1, "{}"), ("A", "view", None, RUN_1, "{}"), ("A", "view", "", RUN_2, "{}")], touch)
+    for _ in range(2):
+        tracker._log(rows)
+    assert tracker.store.log("touches").count() == 3
+
+
 def test_two_intake_updates_of_one_asset_give_one_row(spark, tracker, tmp_path):
     tracker.load_bundles(bundle_documents(spark, write(tmp_path / "i", {"A1.json": bundle("A1")})), RUN_1, "ida")
     updates = spark.createDataFrame([("A1", "sold", "2024-01-02"), ("A1", "kept", "2024-01-01")], "asset_tag STRING, status STRING, changed_at STRING")
