@@ -180,8 +180,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per vector."""
     own = written(scaled(vectors), "vectors")
     full = own.where("vec_id is not null and digest is not null")
-    classes = full.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    reps = written(full.join(classes, "digest").where("vec_id = rep").dropDuplicates(["rep"]).select("rep", "weight", "unit", "dim", "digest"), "classes")
+    # classes go by numbers of their own, since one id may be listed with several vectors; the
+    # numbers hold because the table is written, and an aggregate takes a hot vector along
+    classes = full.groupBy("digest").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("unit").alias("unit"), F.first("dim").alias("dim"))
+    reps = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     k, tables = settings(reps.count(), cosine)
     keys = written(hashed(reps, k, tables), "keys")
     rows = _opened(keys, tables).join(reps.select("rep", "dim"), "rep")
@@ -194,9 +196,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     found = written(_compare(rows, cosine), "found")
     fresh = found.groupBy("rep").agg(F.sum("fresh").alias("fresh"))
     parts = connected_components(found, "rep", "other", "rep")
-    of_class = reps.select("rep", "weight", "digest").join(fresh, "rep", "left").join(parts, "rep", "left").select(
-        "digest", (F.coalesce("fresh", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")
+    labelled = reps.select("rep", "weight", "digest", "first_id").join(fresh, "rep", "left").join(parts, "rep", "left").select(
+        "digest", "first_id", (F.coalesce("fresh", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("part")
     )
+    labelled = written(labelled, "labelled")
+    # written, so that both sides of the join are plain shuffles and a very large component can be split
+    least = written(labelled.groupBy("part").agg(F.min("first_id").alias("component_id")), "least")
+    of_class = labelled.join(least.hint("merge"), "part").select("digest", "n_links", "component_id")
     out = own.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
