@@ -10,7 +10,8 @@ part of the sort order.
 
 Defined cases: a null page is an empty payload; a null url is an empty address; blanks and
 control characters of an address are percent-encoded in the record's address line; repeated
-page ids are records of their own, and each that has the smallest id of its payload is a response.
+page ids are records of their own, and each that has the smallest id of its payload is a response;
+a revisit means the response of that id whose payload has the digest it names.
 """
 
 from __future__ import annotations
@@ -207,6 +208,8 @@ def read_ranges(spark: SparkSession, archive: str, found: DataFrame) -> DataFram
     which travels compressed.
     """
 
+    names = ["page_id", "record_type", "refers_to", "digest"]
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -219,12 +222,12 @@ def read_ranges(spark: SparkSession, archive: str, found: DataFrame) -> DataFram
             for data, ranges in zip(batch.column("data"), batch.column("ranges"), strict=True):
                 content, rows = codec.decompress(data.as_py()), ranges.values
                 payload = [content[s : s + n] for s, n in zip(rows.field("start").to_pylist(), rows.field("length").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.field(c) for c in ("page_id", "record_type", "refers_to")] + [pa.array(payload, pa.binary())], ["page_id", "record_type", "refers_to", "payload"])
+                yield pa.RecordBatch.from_arrays([rows.field(c) for c in names] + [pa.array(payload, pa.binary())], [*names, "payload"])
 
-    per_file = found.groupBy("file").agg(F.collect_list(F.struct("page_id", "record_type", "refers_to", "start", "length")).alias("ranges"))
+    per_file = found.groupBy("file").agg(F.collect_list(F.struct(*names, "start", "length")).alias("ranges"))
     files = archive_files(spark, archive).mapInArrow(packed, "path string, data binary")
     rows = files.join(per_file, F.col("path") == F.col("file")).select("data", "ranges")
-    return rows.mapInArrow(cut, "page_id long, record_type string, refers_to long, payload binary")
+    return rows.mapInArrow(cut, "page_id long, record_type string, refers_to long, digest string, payload binary")
 
 
 def roundtrip(pages: DataFrame) -> DataFrame:
@@ -241,12 +244,13 @@ def roundtrip(pages: DataFrame) -> DataFrame:
     build_index(entries, index, shards=max(1, -(-pages.count() // SHARD_ROWS), spark.sparkContext.defaultParallelism))
     keys = pages.select(surt(address(F.col("url"))).alias("key"))
     read = read_ranges(spark, archive, lookup(spark, index, keys)).select(
-        "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest")
+        "page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest")
     )
     read = written(read, "read")
-    kept = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("to")).agg(F.first("own_bytes").alias("to_bytes"), F.first("own_digest").alias("to_digest"))
+    # an id may be listed with several payloads: a revisit means the one of the digest it names
+    kept = read.where("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("own_bytes").alias("to_bytes"), F.col("own_digest").alias("to_digest")).distinct()
     own = read.where("record_type = 'response'").select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to")
-    again = read.where("record_type <> 'response'").join(kept, F.col("refers_to") == F.col("to"))
+    again = read.where("record_type <> 'response'").join(kept, (F.col("refers_to") == F.col("to")) & (F.col("digest") == F.col("to_digest")))
     return own.union(again.select("page_id", "to_bytes", "to_digest", "record_type", "refers_to"))
 
 
