@@ -12,8 +12,10 @@ import pyarrow as pa
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _VALUES = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64)
-_FOLDED = _VALUES.copy()
-_FOLDED[65:91] = _VALUES[97:123]
+_PLACES = 64
+_DRAWN = np.random.default_rng(20260301).integers(0, 2**64, _PLACES << 8, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _powers = _inverse = np.ones(1, np.uint64)
 
@@ -37,10 +39,11 @@ def split(text: bytes | None, lower: bool = False) -> list[bytes]:
 
 
 def word_hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
-    """64-bit hash of every word, in order: a polynomial in random values of the bytes, mixed.
+    """64-bit hash of every word, in order: the sum of one random value per (place, byte), mixed.
 
-    Running sums over the whole text give all words at once; a word's sum is brought to its
-    start by the inverse power, so equal words have equal hashes wherever they stand.
+    Values of the first _PLACES places are drawn; a later place takes the value of its place
+    modulo _PLACES, mixed with how often that went round. No value depends on another by a
+    rule that words could follow, so there are no families of words that always collide.
     """
     if not text:
         return np.empty(0, np.uint64)
@@ -48,12 +51,17 @@ def word_hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
     blank = np.ones(len(raw) + 2, bool)
     blank[1:-1] = _BLANK[raw]
     turn = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = turn[::2], turn[1::2]
-    if len(raw) >= len(_powers):
-        _grow(2 * len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_FOLDED if lower else _VALUES)[raw] * _powers[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
+    lengths = turn[1::2] - turn[::2]
+    if not len(lengths):
+        return np.empty(0, np.uint64)
+    letters = raw[~blank[1:-1]]
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(starts, lengths)
+    values = _DRAWN[(place & (_PLACES - 1)) << 8 | (_LOWER[letters] if lower else letters)]
+    late = np.flatnonzero(place >= _PLACES) if lengths.max() > _PLACES else ()
+    if len(late):
+        values[late] = mix(values[late] + (place[late] // _PLACES).astype(np.uint64) * np.uint64(_BASE))
+    return mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -58,6 +58,16 @@ def test_words_and_hashes():
     assert len(words.shingle_set(h[:1], 2)) == 1 and len(words.shingle_set(words.word_hashes(None), 2)) == 0
 
 
+def test_words_that_polynomials_take_for_equal():
+    left, right = b"a", b"b"
+    for _ in range(10):
+        left, right = left + right, right + left
+    h = words.word_hashes(b" ".join([left, right, left.upper(), left, left[:64], right[:64], left[:65]]))
+    assert h[0] == h[3] and len(set(h.tolist())) == 6
+    folded = words.word_hashes(left + b"\n" + left.upper() + b" " + right, lower=True)
+    assert folded[0] == folded[1] != folded[2]
+
+
 # --- 1: vectors ----------------------------------------------------------------------------
 
 
@@ -101,6 +111,12 @@ def test_repeated_vector_rows_link(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()) == [(0, 0, None, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)]
 
 
+def test_one_id_with_several_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (5, [0.0, 1.0, 0.01]), (7, [0.0, 1.0, 0.02]), (9, [0.0, 0.0, 1.0]), (5, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (5, 1, 5, True), (5, 2, 1, False), (7, 2, 1, False), (9, 1, 5, False)]
+
+
 # --- 2: decontamination --------------------------------------------------------------------
 
 
@@ -360,6 +376,14 @@ def test_pages_of_odd_addresses_come_back(spark, urls_):
     assert sorted((r.page_id, r.payload_bytes) for r in warc.roundtrip(pages).collect()) == [(i, len(h)) for i, _, h in rows]
 
 
+def test_revisits_of_an_id_with_several_payloads(spark):
+    a, b = "a" * 150, "b" * 151
+    pages = spark.createDataFrame([(1, "http://h/1", a), (1, "http://h/1", b), (1, "http://h/2", b), (2, "http://h/2", a), (3, "http://h/3", b), (None, "http://h/3", b)], "page_id long, url string, html string")
+    got = collections.Counter(tuple(r) for r in warc.roundtrip(pages).collect())
+    of = {x: (len(x), hashlib.sha256(x.encode()).hexdigest()) for x in (a, b)}
+    assert got == {(1, *of[a], "response", None): 1, (1, *of[b], "response", None): 2, (2, *of[a], "revisit", 1): 1, (3, *of[b], "revisit", 1): 1, (None, *of[b], "response", None): 1}
+
+
 # --- 7: repeated passages ------------------------------------------------------------------
 
 
@@ -421,6 +445,17 @@ def test_one_passage_in_many_differing_documents(spark, monkeypatch):
     assert max(largest) <= 20
 
 
+def test_words_that_polynomials_take_for_equal_are_kept(spark):
+    left, right = "a", "b"
+    for _ in range(10):
+        left, right = left + right, right + left
+    rest = " ".join(f"w{k}" for k in range(19))
+    docs = documents(spark, [(1, f"{left} {rest}"), (2, f"{right} {rest}"), (3, f"{left} {rest}")])
+    assert {i: r.n_removed for i, r in by_id(substring.kept_digests(docs, 20)).items()} == {1: 0, 2: 0, 3: 20}
+    pairs = documents(spark, [(1, f"{left} x"), (2, f"{right} x")])
+    assert [r.component_id for r in neardup.near_duplicates(pairs, size=2).orderBy("doc_id").collect()] == [1, 2]
+
+
 def test_repeated_passages_of_odd_rows(spark):
     rows = [*ODD, (None, LONG)]
     got = [(r.doc_id, r.n_removed) for r in substring.kept_digests(documents(spark, rows), 5).collect()]
