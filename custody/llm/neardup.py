@@ -8,9 +8,9 @@
    two branches it meets in a tree of DEPTH levels with more than 0.94 at J = 0.8, and misses
    all TREES trees with about 1 in 80,000. Nodes of at most NODE classes are compared
    exhaustively, by two bits of every minwise value. Larger nodes are compared with their
-   first class; if all are close to it the node is finished, else it goes on, again by
-   BRANCHES functions a level. What still is large after LEVELS levels is linked to its
-   first class unseen.
+   first class; a node whose classes that joins, or links of the first levels in whatever
+   node, is finished, else it goes on, again by BRANCHES functions a level. What still is
+   large after LEVELS levels is linked to its first class unseen.
 3. Links join classes into candidate groups, a superset of the true ones. In each group the
    full sets are compared exactly: a search from class to class that asks only for classes not
    reached yet. A group of more than CHUNK classes is cut into chunks, each with the group's
@@ -178,33 +178,56 @@ def batches_with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def candidate_links(reps: DataFrame) -> DataFrame:
-    """(a, b): enough links to join all classes that some tree found close. reps (rep, mins)."""
-    sketches = written(_sketched(reps), "sketches")
+def _salted(of_pivot: DataFrame) -> DataFrame:
+    """A copy for every salt: one pivot may lead a third of all rows, whose salt is their rep's."""
+    return of_pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _near_pivot(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(pivot, rep, salt, near) of the distinct pairs of a class and the first class of a large node of it."""
     s = ["s0", "s1", "s2", "s3"]
-    rows, found = _branched(reps, from_node=False), None
+    pairs = large.select("pivot", "rep").distinct().join(sketches, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    first = large.select("pivot").distinct().join(sketches, F.col("pivot") == F.col("rep")).select("pivot", *[F.col(c).alias(f"p{c}") for c in s])
+    apart = sum((F.bit_count((F.col(c).bitwiseXOR(F.col(f"p{c}"))).bitwiseOR(F.shiftrightunsigned(F.col(c).bitwiseXOR(F.col(f"p{c}")), 1)).bitwiseAND(F.lit(_LOW))) for c in s), F.lit(0))
+    return written(pairs.join(_salted(first), ["pivot", "salt"]).select("pivot", "rep", "salt", (apart <= _FAR).alias("near")), "pivots")
+
+
+def _unfinished(large: DataFrame, judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node) of the large nodes with a class that no link has joined to the node's first class yet."""
+    of_rep = labels.select("rep", F.col("component_id").alias("label"))
+    far = judged.where("not near").join(of_rep, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    pivots = judged.select("pivot").distinct().join(labels, F.col("pivot") == F.col("rep"), "left").select("pivot", F.coalesce("component_id", "pivot").alias("own"))
+    far = far.join(_salted(pivots), ["pivot", "salt"]).where("label <> own").select("pivot", "rep")
+    return written(large.join(far, ["pivot", "rep"], "left_semi").select("node").distinct(), "unfinished")
+
+
+def candidate_groups(reps: DataFrame) -> DataFrame:
+    """(rep, grp): the groups of classes that some tree found close; reps (rep, mins)."""
+    sketches = written(_sketched(reps), "sketches")
+    rows, found, labels = _branched(reps, from_node=False), None, None
     for level in range(LEVELS):
         shared = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
         met = written(rows.join(shared, "node"), "nodes")
-        links = _compare_nodes(met.where(F.col("n") <= NODE).join(sketches, "rep").select("node", "rep", *s))
+        links = _compare_nodes(met.where(F.col("n") <= NODE).join(sketches, "rep").select("node", "rep", "s0", "s1", "s2", "s3"))
+        links = links if found is None else found.union(links)
         large = met.where(F.col("n") > NODE)
         if large.isEmpty():
-            found = links if found is None else found.union(links)
+            found = links
             break
         if level + 1 == LEVELS:
-            links = links.union(large.select("pivot", "rep"))
-            found = links if found is None else found.union(links)
+            found = links.union(large.select("pivot", "rep").distinct())
+            break
+        judged = _near_pivot(large, sketches)
+        found = written(links.union(judged.where("near").select("pivot", "rep")).where("a <> b").distinct(), "links")
+        if labels is None:
+            labels = written(connected_components(found, "a", "b", "rep"), "labels")
+        still = _unfinished(large, judged, labels)
+        if still.isEmpty():
+            if level == 0:
+                return labels.withColumnRenamed("component_id", "grp")
             break
-        # one pivot may lead a third of all rows: its rows are salted, and it is copied to every salt
-        first = large.select("pivot").distinct().join(sketches, F.col("pivot") == F.col("rep"))
-        first = first.select("pivot", *[F.col(c).alias(f"p{c}") for c in s], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        apart = sum((F.bit_count((F.col(c).bitwiseXOR(F.col(f"p{c}"))).bitwiseOR(F.shiftrightunsigned(F.col(c).bitwiseXOR(F.col(f"p{c}")), 1)).bitwiseAND(F.lit(_LOW))) for c in s), F.lit(0))
-        seen = written(large.join(sketches, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(first, ["pivot", "salt"]).select("node", "rep", "pivot", "n", (apart <= _FAR).alias("near")), "large")
-        links = written(links.union(seen.where("near").select("pivot", "rep")), "links")
-        found = links if found is None else found.union(links)
-        still = seen.groupBy("node", "n").agg(F.count_if("near").alias("near")).where("near < n").select("node")
-        rows = _branched(seen.join(still, "node", "left_semi").join(reps, "rep").select("node", "rep", "mins"), from_node=True).distinct()
-    return found.where("a <> b").distinct()
+        rows = _branched(large.join(still.hint("merge"), "node", "left_semi").join(reps, "rep").select("node", "rep", "mins"), from_node=True).distinct()
+    return written(connected_components(found, "a", "b", "rep").withColumnRenamed("component_id", "grp"), "groups")
 
 
 class Group:
@@ -221,7 +244,10 @@ class Group:
         own = self.codes[self.offsets[i] : self.offsets[i + 1]]
         self.mark[own] = True
         near = others[(100 * np.minimum(self.sizes[others], self.sizes[i]) >= percent * np.maximum(self.sizes[others], self.sizes[i]))]
-        shared = np.array([np.count_nonzero(self.mark[self.codes[self.offsets[j] : self.offsets[j + 1]]]) for j in near], dtype=np.int64)
+        if 2 * self.sizes[near].sum() > len(self.codes):  # one pass over all sets costs less than one a set
+            shared = np.add.reduceat(self.mark[self.codes], self.offsets[:-1], dtype=np.int64)[near]
+        else:
+            shared = np.array([np.count_nonzero(self.mark[self.codes[self.offsets[j] : self.offsets[j + 1]]]) for j in near], dtype=np.int64)
         self.mark[own] = False
         return near[100 * shared >= percent * (self.sizes[near] + self.sizes[i] - shared)] if len(near) else near
 
@@ -321,8 +347,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full = own.where("doc_id is not null and digest is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = written(full.select(F.col("doc_id").alias("rep"), "mins").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "reps")
-    groups = connected_components(candidate_links(reps), "a", "b", "rep").withColumnRenamed("component_id", "grp")
-    exact = exact_links(docs, written(groups, "groups"), size, percent)
+    exact = exact_links(docs, candidate_groups(reps), size, percent)
     parts = connected_components(exact, "a", "b", "rep")
     of_class = classes.join(parts, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     out = own.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
