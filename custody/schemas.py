@@ -92,3 +92,10 @@ ACCEPTED_VALUES = {
     },
     "touches": {"touch_type": list(labels.TOUCH_TYPE)},
 }
+
+# table -> {column: (table, key it refers to)}
+REFERENCES = {
+    "scans": {"asset_tag": ("assets", "asset_tag")},
+    "asset_drives": {"asset_tag": ("assets", "asset_tag")},
+    "touches": {"asset_tag": ("assets", "asset_tag")},
+}

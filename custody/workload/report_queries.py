@@ -194,6 +194,51 @@ def declared_rules(t):
     return quality.violations({"drives": drives(t), "events": drive_events(t)})
 
 
+SQL_AUDITED = """
+    a AS (SELECT CAST(o_custkey AS VARCHAR) AS tag, CASE o_orderstatus WHEN 'O' THEN 'ready' WHEN 'F' THEN '' ELSE o_orderstatus END AS status,
+      CASE WHEN o_orderpriority LIKE '1%' THEN 'server' ELSE '' END AS device, translate(left(o_orderpriority, 1), '12345', 'ABCDE') AS grade FROM orders),
+    d AS (SELECT CAST(l_orderkey AS VARCHAR) AS tag, CAST(l_linenumber % 3 AS VARCHAR) AS serial,
+      CASE l_returnflag WHEN 'R' THEN 'removed' WHEN 'A' THEN 'present' END AS status, CASE l_linestatus WHEN 'O' THEN 'lshw' ELSE 'manual' END AS source FROM lineitem),
+    l AS (SELECT l_partkey, l_suppkey FROM lineitem),
+    t AS (SELECT CAST(user_id AS VARCHAR) AS tag, event_type AS kind FROM events)"""
+
+
+@query(
+    "constraint_audit",
+    f"""
+    WITH {SQL_AUDITED}
+    SELECT 'assets: unique asset_tag' AS "check", count(*) AS violations FROM (SELECT 1 FROM a GROUP BY tag HAVING count(*) > 1)
+    UNION ALL SELECT 'assets: accepted status', count(*) FROM a WHERE status NOT IN ('', 'intake', 'testing', 'ready', 'sold', 'recycled', 'returned')
+    UNION ALL SELECT 'assets: accepted device_type', count(*) FROM a WHERE device NOT IN ('', 'server')
+    UNION ALL SELECT 'assets: accepted cosmetic_grade', count(*) FROM a WHERE grade NOT IN ('', 'A', 'B', 'C', 'D')
+    UNION ALL SELECT 'asset_drives: unique asset_tag+serial', count(*) FROM (SELECT 1 FROM d GROUP BY tag, serial HAVING count(*) > 1)
+    UNION ALL SELECT 'asset_drives: accepted status', count(*) FROM d WHERE status IS NULL
+    UNION ALL SELECT 'asset_drives: accepted source', 0
+    UNION ALL SELECT 'asset_drives: asset_tag in assets', count(*) FROM d WHERE tag NOT IN (SELECT tag FROM a)
+    UNION ALL SELECT 'links: unique computer_serial+drive_serial', count(*) FROM (SELECT 1 FROM l GROUP BY l_partkey, l_suppkey HAVING count(*) > 1)
+    UNION ALL SELECT 'touches: accepted touch_type', count(*) FROM t WHERE kind IS NULL OR kind NOT IN ('view', 'scan_upload', 'intake_update', 'drive_status', 'note')
+    UNION ALL SELECT 'touches: asset_tag in assets', count(*) FROM t WHERE tag IS NOT NULL AND tag NOT IN (SELECT tag FROM a)
+    """,
+)
+def constraint_audit(t):
+    state = F.col("o_orderstatus")
+    assets = t.orders.select(
+        F.col("o_custkey").cast("string").alias("asset_tag"),
+        F.when(state == "O", "ready").when(state == "F", "").otherwise(state).alias("status"),
+        F.when(F.col("o_orderpriority").startswith("1"), "server").otherwise("").alias("device_type"),
+        F.translate(F.substring("o_orderpriority", 1, 1), "12345", "ABCDE").alias("cosmetic_grade"),
+    )
+    asset_drives = t.lineitem.select(
+        F.col("l_orderkey").cast("string").alias("asset_tag"),
+        (F.col("l_linenumber") % 3).cast("string").alias("serial"),
+        F.when(F.col("l_returnflag") == "R", "removed").when(F.col("l_returnflag") == "A", "present").alias("status"),
+        F.when(F.col("l_linestatus") == "O", "lshw").otherwise("manual").alias("source"),
+    )
+    links = t.lineitem.select(F.col("l_partkey").alias("computer_serial"), F.col("l_suppkey").alias("drive_serial"))
+    touches = t.events.select(F.col("user_id").cast("string").alias("asset_tag"), F.col("event_type").alias("touch_type"))
+    return quality.audit({"assets": assets, "asset_drives": asset_drives, "links": links, "touches": touches})
+
+
 @query(
     "hard_drive_flags",
     """

@@ -240,6 +240,8 @@ def test_pairs_resolve_before_and_after_the_scan(spark, tracker, tmp_path):
     tables = {"assets": tracker.assets(), "asset_drives": tracker.drives(), "links": tracker.links(),
               "scans": tracker.scans(), "touches": tracker.store.log("touches")}
     assert {r.violations for r in quality.violations(tables).collect()} == {0}
+    audited = {r.check: r.violations for r in quality.audit(tables).collect()}
+    assert set(audited.values()) == {0} and audited.keys() > {r.check for r in quality.violations(tables).collect()}
 
     row = {r.asset_tag: r for r in tracker.asset_details().collect()}
     assert row["A1"].hard_drive_present and row["A1"].display_drives == 2
@@ -281,3 +283,15 @@ def test_hot_pair_counts_once_per_key(spark):
     )
     counted = links.pair_counts(links.normalise_pairs(raw))
     assert counted.filter("computer_serial = 'HOT'").first().seen == 10000 and counted.count() == 20001
+
+
+def test_audit_counts_keys_codes_and_references(spark):
+    assets = spark.createDataFrame([("A", "ready"), ("A", "bad"), ("A", None), (None, ""), (None, "")], "asset_tag STRING, status STRING").withColumns({c: F.lit("") for c in ["device_type", "cosmetic_grade"]})
+    touches = spark.createDataFrame([("A", "view"), ("B", "view"), ("B", "odd"), (None, "note")], "asset_tag STRING, touch_type STRING")
+    want = {
+        "assets: unique asset_tag": 2, "assets: accepted status": 2, "assets: accepted device_type": 0, "assets: accepted cosmetic_grade": 0,
+        "touches: accepted touch_type": 1, "touches: asset_tag in assets": 2,
+    }
+    assert {r.check: r.violations for r in quality.audit({"assets": assets, "touches": touches}).collect()} == want
+    empty = {"assets": assets.limit(0), "touches": touches.limit(0)}
+    assert {r.check: r.violations for r in quality.audit(empty).collect()} == dict.fromkeys(want, 0)
