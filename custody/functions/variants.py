@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from custody.functions.text import as_col
 
+# Drawn when the library is loaded, so that no stored text can hold it.
+_END_MARK = uuid.uuid4().hex
+
 
 def parse_document(raw: Column | str) -> Column:
     """VARIANT of a JSON text, NULL for anything else.
 
     ``try_parse_json`` stops after the first value and would accept trailing
     text. The text is parsed as the first element of a list whose second one is an
-    end mark; the list must have just these two. The mark is the text's own SHA-256,
-    which no text can hold in itself.
+    end mark; the list must have just these two.
     """
-    text = as_col(raw)
-    mark = F.sha2(text, 256)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    complete = (F.try_variant_get(pair, "$[1]", "string") == mark) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    pair = F.try_parse_json(F.concat(F.lit("["), as_col(raw), F.lit(f',"{_END_MARK}"]')))
+    complete = (F.try_variant_get(pair, "$[1]", "string") == _END_MARK) & F.try_variant_get(pair, "$[2]", "variant").isNull()
     return F.when(complete, F.try_variant_get(pair, "$[0]", "variant"))
 
 
