@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from custody.operators import inventory, merge, quality, reports
+from custody.plans.search_index import SearchIndex
+from custody.session import shared_dir
 from custody.workload.adapters import SQL_EVENTS, drive_events, drives
 from custody.workload.registry import query, sql_ts, ts_text
 
@@ -129,6 +131,43 @@ def facet_search(t):
     return hits.select("doc_id", "lang", "source")
 
 
+SQL_FOUND = """
+    found AS (SELECT doc_id, lang, source FROM documents
+      WHERE lang IN ('en', 'de') AND (text ILIKE '%hing%' OR source ILIKE '%hing%')
+        AND (text ILIKE '%src1%' OR source ILIKE '%src1%') AND (text ILIKE '%th%' OR source ILIKE '%th%'))"""
+
+
+def indexed(t):
+    """Documents indexed in two batches, one of which is added again, then searched."""
+    index = SearchIndex(t.spark, shared_dir(t.spark, "search"), "doc_id", ["text", "source"], buckets=8)
+    docs = t.documents.select("doc_id", "lang", "source", "text")
+    index.add(docs.where("doc_id % 2 = 0"), "even")
+    for _ in range(2):
+        index.add(docs.where("doc_id % 2 <> 0"), "odd")
+    return index.search(docs, "hing SRC1 th", {"lang": ["en", "de"]}).select("doc_id", "lang", "source")
+
+
+@query("indexed_search", f"WITH {SQL_FOUND} SELECT * FROM found")
+def indexed_search(t):
+    return indexed(t)
+
+
+@query(
+    "facet_counts",
+    f"""
+    WITH {SQL_FOUND}
+    SELECT 'lang' AS facet, lang AS value, count(*) AS rows FROM found GROUP BY lang
+    UNION ALL SELECT 'source', source, count(*) FROM found GROUP BY source
+    UNION ALL SELECT 'labelled', CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'yes' END, count(*) FROM found GROUP BY 2
+    """,
+)
+def facet_counts(t):
+    """Counts beside the search of three facets at once; unlabelled documents are a null value."""
+    labels = t.labels.select("doc_id").distinct().withColumn("labelled", F.lit("yes"))
+    found = indexed(t).join(labels, "doc_id", "left")
+    return reports.facet_counts(found, ["lang", "source", "labelled"])
+
+
 @query(
     "date_drilldown",
     f"SELECT {sql_ts('o_month')} AS period, count(*) AS rows FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS o_month FROM orders) GROUP BY 1",
