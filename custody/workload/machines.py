@@ -206,3 +206,9 @@ SQL_MACHINE = """
              FROM m, i3 WHERE i <= n4),
     disk_text AS (SELECT *, CASE WHEN size_bytes IS NULL THEN '' ELSE CASE WHEN size_bytes < 1073741824 THEN printf('%.1f MB ', size_bytes / 1048576) ELSE printf('%.1f GB ', size_bytes / 1073741824) END END AS size_text FROM disk)
 """
+
+# The storage label of machine m.
+SQL_STORAGE = """
+    (SELECT string_agg(size_text || model || CASE WHEN i = 2 THEN ' (no serial)' ELSE ' (SN ' || serial || ')' END, ' + ' ORDER BY i DESC)
+     FROM disk_text WHERE disk_text.k = m.k)
+"""

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custody import schemas
-from custody.operators import audit, bundles, links
+from custody.operators import audit, bundles, links, reports
 from custody.plans.read_model import AssetReadModel
 from custody.plans.tracker import Tracker
 from custody.session import shared_dir, spread
+from custody.sources.documents import packed_documents
 from custody.sources.pairs import all_pairs, file_pairs, pasted_pairs
 from custody.sources.rows import csv_rows, sheet_values
 from custody.workload.adapters import RUN_1, RUN_2
-from custody.workload.machines import BUNDLE, SQL_MACHINE, TREE, documents, machines
+from custody.workload.machines import BUNDLE, SQL_MACHINE, SQL_STORAGE, TREE, documents, machines
 from custody.workload.registry import query, sql_ts, ts_text
 
 CUT = "1998-01-01"
@@ -591,6 +592,74 @@ def bundle_load(t):
     return reduce(DataFrame.unionByName, counts)
 
 
+SQL_LOADED = f"""
+    {SQL_MACHINE},
+    s AS (SELECT k, kk, n4, 'A' || o_custkey AS tag, o_orderdate + to_microseconds(k % 1000000) AS made, k % 2 AS odd, {SQL_STORAGE} AS storage, mem,
+                 CASE WHEN k % 5 <> 0 THEN 'SYS' || kk WHEN k % 10 <> 0 THEN 'UUID-' || kk WHEN k % 20 <> 0 THEN 'BUS' || kk ELSE 'BRG' || kk END AS cs FROM m),
+    a AS (SELECT tag, coalesce(arg_min(k, made) FILTER (odd = 0), arg_min(k, made) FILTER (odd = 1)) AS k FROM s GROUP BY tag),
+    asset AS (SELECT a.tag, a.k, cs, odd AS second FROM a JOIN s USING (k)),
+    pair AS (SELECT k, cs, CASE WHEN k % 6 = 0 THEN 'D' || kk || '-1' ELSE 'X' || k END AS ds FROM s WHERE k % 3 = 0),
+    held AS (SELECT pair.*, asset.tag FROM pair LEFT JOIN asset USING (k)),
+    scanned AS (SELECT tag, serial, min(logicalname) AS logicalname, min(size_bytes) AS size_bytes, min(model) AS model FROM disk JOIN s USING (k) GROUP BY 1, 2)
+"""
+
+
+@query(
+    "bundle_rows",
+    f"""
+    WITH {SQL_LOADED}
+    SELECT 'asset' AS kind, tag AS a, cs AS b, 'ida' AS c, '2024-06-0' || (1 + second) AS d FROM asset
+    UNION ALL SELECT 'scan', tag, cs, coalesce(storage, '-'), '2024-06-0' || (1 + odd) || ' ' || {sql_ts("made")} FROM s
+    UNION ALL SELECT 'drive', tag, coalesce(scanned.serial, ds), CASE WHEN ds IS NULL THEN 'present' ELSE 'removed_before_scan' END,
+           CASE WHEN scanned.serial IS NULL THEN 'spreadsheet//-/' ELSE 'lshw/' || logicalname || '/' || coalesce(size_bytes::VARCHAR, '-') || '/' || model END
+      FROM scanned FULL JOIN (SELECT tag, ds AS serial, ds FROM held WHERE tag IS NOT NULL) r USING (tag, serial)
+    UNION ALL SELECT 'link', cs, ds, coalesce(tag, '-'), '1' FROM held
+    UNION ALL SELECT 'touch', s.tag, 'ida', s.cs, s.n4 || '/' || CASE WHEN asset.k % 3 = 0 AND (odd = 1 OR second = 0) THEN 1 ELSE 0 END FROM s JOIN asset USING (tag)
+    UNION ALL SELECT 'outcome', CASE odd WHEN 1 THEN 'created' ELSE 'duplicate' END, count(*)::VARCHAR, '', '' FROM s GROUP BY 2
+    """,
+)
+def bundle_rows(t):
+    """Packed scan documents with their trees, loaded twice over pairs known before: every stored row.
+
+    The first load holds the documents of even orders, the second one all of them.
+    """
+    root = shared_dir(t.spark, "rows")
+    k = F.col("scan_id")
+    made = F.concat(F.lit("."), F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit('Z","scanner"'))
+    docs = documents(t).select(
+        F.concat("asset_tag", F.lit(".json")).alias("file_name"), F.replace("raw", F.lit('Z","scanner"'), made).alias("raw"), (k % 2).alias("odd"),
+    )
+    docs.write.partitionBy("odd").parquet(f"{root}/packed")
+    tracker = Tracker(t.spark, f"{root}/tracker")
+    found = machines(t).select(F.col("o_orderkey").alias("k"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("kk")).where("k % 3 = 0")
+    raw = found.select(
+        F.lit("paste").alias("source"), F.col("k").cast("bigint").alias("row_index"), F.lit("").alias("raw_line"),
+        F.expr("CASE WHEN k % 5 <> 0 THEN 'sys' WHEN k % 10 <> 0 THEN 'uuid-' WHEN k % 20 <> 0 THEN 'bus' ELSE 'brg' END || kk").alias("computer_serial"),
+        F.expr("CASE WHEN k % 6 = 0 THEN 'd' || kk || '-1' ELSE 'x' || k END").alias("drive_serial"),
+    )
+    tracker.import_pairs(raw, "before", RUN_1, "ida")
+    tracker.load_bundles(packed_documents(t.spark, f"{root}/packed/odd=0"), RUN_1, "ida")
+    second = tracker.load_bundles(packed_documents(t.spark, f"{root}/packed/*"), RUN_2, "ida")
+
+    def rows(kind, df, *cols):
+        text = [F.coalesce(c.cast("string"), F.lit("-")) for c in cols]
+        return df.select(F.lit(kind).alias("kind"), *[c.alias(n) for c, n in zip(text, "abcd")])
+
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    c, told = F.col, lambda name: F.get_json_object("details", f"$.{name}")
+    traits = F.concat_ws("/", "source", "logicalname", F.coalesce(c("capacity_bytes").cast("string"), F.lit("-")), "model")
+    parts = [
+        rows("asset", tracker.assets(), c("asset_tag"), c("computer_serial"), c("created_by"), day("created_at")),
+        rows("scan", tracker.scans(), c("asset_tag"), c("device_serial"), c("summary.storage"), F.concat_ws(" ", day("scanned_at"), ts_text("generated_at"))),
+        rows("drive", tracker.drives(), c("asset_tag"), c("serial"), c("status"), traits),
+        rows("link", tracker.links(), c("computer_serial"), c("drive_serial"), c("resolved_asset"), c("seen_count")),
+        rows("touch", tracker.store.log("touches"), c("asset_tag"), c("touched_by"), told("device_serial"),
+             F.concat_ws("/", told("drive_count"), told("resolved_removed_before_scan"))),
+        rows("outcome", reports.count_by(second, "outcome"), c("outcome"), c("rows"), F.lit(""), F.lit("")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "bulk_errors",
     f"WITH {SQL_BUNDLES} {_outcomes_sql(chr(39) + 'asset_mismatch' + chr(39))} SELECT file_name, asset_tag, error FROM outcomes WHERE outcome = 'failed' ORDER BY file_name LIMIT 5",
