@@ -144,11 +144,14 @@ def sheet_values(exports: DataFrame) -> DataFrame:
 EXPORT_SCHEMA = "sheet_id STRING, tab STRING, header_row INT, `values` ARRAY<ARRAY<STRING>>"
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """Value grids exported as JSON documents, one sheet tab each; ``broken`` holds unreadable ones."""
+def read_exports(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Value grids exported as JSON documents, one sheet tab each; ``broken`` holds unreadable ones.
+
+    A document is a file or, ``packed``, a line: many small exports then are read by split.
+    """
     return (
         spark.read.schema(EXPORT_SCHEMA + ", broken STRING")
-        .options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="broken").json(path)
+        .options(multiLine=not packed, mode="PERMISSIVE", columnNameOfCorruptRecord="broken").json(path)
     )
 
 
@@ -165,7 +168,7 @@ class FanIn:
 def sheet_sources(spark: SparkSession, configs: list[dict]) -> FanIn:
     """Union of the configured sheet exports.
 
-    An entry is {name, sheet_id, tab, path, header_row=1}. Incomplete entries and
+    An entry is {name, sheet_id, tab, path, header_row=1, packed=False}. Incomplete entries and
     unreadable sources are listed in ``skipped``; they do not stop the others.
     """
     loaded, skipped, rejected = [], [], []
@@ -175,7 +178,7 @@ def sheet_sources(spark: SparkSession, configs: list[dict]) -> FanIn:
             skipped.append((str(name), "incomplete entry"))
             continue
         try:
-            exports = read_exports(spark, config["path"]).withColumn("path", F.col("_metadata.file_path"))
+            exports = read_exports(spark, config["path"], bool(config.get("packed"))).withColumn("path", F.col("_metadata.file_path"))
         except AnalysisException as problem:  # a missing path is reported when the scan is planned
             skipped.append((name, type(problem).__name__))
             continue

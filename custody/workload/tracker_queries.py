@@ -14,7 +14,7 @@ from custody.plans.tracker import Tracker
 from custody.session import shared_dir, spread
 from custody.sources.documents import packed_documents
 from custody.sources.pairs import all_pairs, file_pairs, pasted_pairs
-from custody.sources.rows import csv_rows, sheet_values
+from custody.sources.rows import csv_rows, sheet_sources, sheet_values
 from custody.workload.adapters import RUN_1, RUN_2
 from custody.workload.machines import BUNDLE, SQL_MACHINE, SQL_STORAGE, TREE, documents, machines
 from custody.workload.registry import query, sql_ts, ts_text
@@ -56,6 +56,44 @@ def sheet_values_rows(t):
     )
 
 
+@query(
+    "sheet_fan_in",
+    """
+    WITH o AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'removals' ELSE 'shreds' END AS name FROM orders)
+    SELECT name AS entry, CASE name WHEN 'removals' THEN 'S1' ELSE 'S2' END AS sheet, (CASE name WHEN 'removals' THEN 3 ELSE 2 END + n)::BIGINT AS row_number,
+           CASE n WHEN 0 THEN o_orderpriority ELSE 'only' END AS a, CASE n WHEN 0 THEN o_orderkey::VARCHAR ELSE '' END AS b
+    FROM o, (VALUES (0), (1)) v(n) WHERE o_orderkey % 10 <> 0
+    UNION ALL SELECT name, 'rejected', NULL, CASE o_orderkey % 20 WHEN 0 THEN 'broken JSON' ELSE 'no values' END, NULL FROM o WHERE o_orderkey % 10 = 0
+    UNION ALL VALUES ('half', 'skipped', NULL, 'incomplete entry', NULL), ('nowhere', 'skipped', NULL, 'AnalysisException', NULL)
+    """,
+)
+def sheet_fan_in(t):
+    """Two sources of packed exports, one per order and some of them unreadable, beside two that can't be read at all."""
+    root = shared_dir(t.spark, "sheets")
+    k = F.col("o_orderkey")
+    grid = F.array(
+        F.array(F.lit("A"), F.lit("B")), F.array(F.col("o_orderpriority"), k.cast("string")), F.array(F.lit("only")),
+    )
+    line = F.when(k % 20 == 0, '{"values": [["A"').when(k % 10 == 0, '{"values": null}').otherwise(F.to_json(F.struct(grid.alias("values"))))
+    name = F.when(F.col("o_orderstatus") == "F", "removals").otherwise("shreds")
+    t.orders.select(line.alias("value"), name.alias("name")).write.partitionBy("name").text(root)
+    loaded = sheet_sources(t.spark, [
+        {"name": "removals", "sheet_id": "S1", "tab": "T", "path": f"{root}/name=removals", "header_row": 2, "packed": True},
+        {"name": "half", "sheet_id": "S3", "path": root},
+        {"name": "shreds", "sheet_id": "S2", "tab": "T", "path": f"{root}/name=shreds", "packed": True},
+        {"name": "nowhere", "sheet_id": "S4", "tab": "T", "path": f"{root}/missing"},
+    ])
+    layout = "entry STRING, sheet STRING, row_number BIGINT, a STRING, b STRING"
+    none = F.lit(None).cast("string")
+    rows = loaded.rows.select(
+        F.col("source_name").alias("entry"), F.col("source_sheet_id").alias("sheet"), "row_number",
+        F.col("payload")["A"].alias("a"), F.col("payload")["B"].alias("b"),
+    )
+    rejected = loaded.rejected.select("source_name", F.lit("rejected"), F.lit(None).cast("bigint"), "error", none)
+    skipped = t.spark.createDataFrame([(n, "skipped", None, why, None) for n, why in loaded.skipped], layout)
+    return rows.union(rejected).union(skipped)
+
+
 @query(
     "csv_source",
     """
