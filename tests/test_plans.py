@@ -1,10 +1,13 @@
 """What the physical plans must and must not contain."""
 
 import os
+from functools import reduce
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from custody.session import spread
 from custody.workload import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,3 +52,14 @@ def test_trees_need_no_shuffle_by_key(spark):
 def test_pairing_combines_before_the_shuffle(spark):
     text = plan(spark, "match_decisions")
     assert "partial_count" in text or "Partial" in text or text.count("Aggregate") >= 4
+
+
+def test_spread_deals_rows_however_many_splits_there_are(spark, tmp_path):
+    rows = spark.range(1000)
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    lopsided = reduce(lambda a, b: a.union(b), [one] + [one.where("id < 0")] * 40)  # splits enough, all rows in one of them
+    sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes(spread(lopsided, rows=50))) <= 60
+    assert spread(one, rows=50).rdd.getNumPartitions() == 20
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
