@@ -78,3 +78,28 @@ def test_drive_state_counts_over_a_restart_and_forgets_idle_drives(spark, tmp_pa
     assert drain("two", [("D1", "SHREDDED", 3)]) == {("D1", 2, 1, False)}  # goes on from the checkpoint
     assert drain("three", [("D3", "REMOVED", 9)]) == {("D3", 1, 0, False), ("D2", 0, 1, True), ("D1", 2, 1, True)}
     assert drain("four", [("D1", "SHREDDED", 10)]) == {("D1", 0, 1, False)}  # its state had left
+
+
+def test_drive_state_holds_a_row_a_group(spark, tmp_path):
+    schema = "serial_norm STRING, event_type STRING, event_time TIMESTAMP"
+    day = datetime(2024, 1, 1)
+
+    def drain(rows):
+        spark.createDataFrame([(s, t, day + timedelta(days=d)) for s, t, d in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        updates = drive_state.running_sides(spark.readStream.schema(schema).parquet(str(tmp_path / "events")), timedelta(days=5), groups=2)
+        seen = []
+        writer = updates.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+        query = writer.foreachBatch(lambda df, n: seen.extend(df.collect())).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return {(r.serial_norm, r.removed_count, r.shredded_count, r.left) for r in seen}, query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    first, held = drain([(f"D{i}", "REMOVED", i % 4) for i in range(40)] + [(None, "SHREDDED", 0), (None, "REMOVED", 2)])
+    assert first == {(f"D{i}", 1, 0, False) for i in range(40)} | {(None, 1, 1, False)}
+    assert held == 2
+    # day 0 and 1 leave, one of day 1 has come back and counts on
+    second, _ = drain([("D1", "SHREDDED", 6), ("D2", "REMOVED", 6), ("E", "SHREDDED", 6)])
+    gone = {(f"D{i}", 1, 0, True) for i in range(40) if i % 4 == 0}
+    assert second == {("D1", 1, 1, False), ("D2", 2, 0, False), ("E", 0, 1, False)} | gone
+    third, held = drain([("E", "SHREDDED", 40)])
+    kept = {(f"D{i}", 1, 0, True) for i in range(3, 40) if i % 4} - {("D1", 1, 0, True), ("D2", 1, 0, True)}
+    assert third == kept | {("D1", 1, 1, True), ("D2", 2, 0, True), (None, 1, 1, True), ("E", 0, 2, False)} and held == 1
