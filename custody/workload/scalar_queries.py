@@ -28,6 +28,7 @@ from custody.operators import tools
 from custody.operators.bronze import row_key
 from custody.operators.inventory import network_kind
 from custody.operators.silver import dedupe_key
+from custody.session import spread
 from custody.sources.ordinals import scan_position, with_row_numbers
 from custody.workload.registry import query, sql_ts, ts_text
 
@@ -466,6 +467,11 @@ EDID = """
 """
 
 
+def scanned(t):
+    """Suppliers as scanned machines: few narrow rows, each with costly tool texts to read."""
+    return spread(t.supplier)
+
+
 @query(
     "battery_fields",
     """
@@ -481,7 +487,7 @@ EDID = """
 )
 def battery_fields(t):
     return (
-        t.supplier.withColumn("text", F.expr(UPOWER))
+        scanned(t).withColumn("text", F.expr(UPOWER))
         .withColumns({"f": tools.power_fields("text"), "c": tools.battery_card("text")})
         .select("s_suppkey", "f.*", F.col("c.model").alias("card_model"), F.col("c.health").alias("card_health"))
     )
@@ -499,7 +505,7 @@ def battery_fields(t):
     """,
 )
 def smart_reports(t):
-    return t.supplier.withColumn("text", F.expr(SMART)).withColumn("f", tools.smart_fields("text")).select(
+    return scanned(t).withColumn("text", F.expr(SMART)).withColumn("f", tools.smart_fields("text")).select(
         "s_suppkey", "f.*", tools.smart_hint("text").alias("hint")
     )
 
@@ -515,7 +521,7 @@ def smart_reports(t):
     """,
 )
 def panels(t):
-    return t.supplier.withColumn("f", tools.panel_fields(F.expr(EDID))).select("s_suppkey", "f.*")
+    return scanned(t).withColumn("f", tools.panel_fields(F.expr(EDID))).select("s_suppkey", "f.*")
 
 
 @query(

@@ -63,3 +63,8 @@ def test_spread_deals_rows_however_many_splits_there_are(spark, tmp_path):
     assert max(sizes(spread(lopsided, rows=50))) <= 60
     assert spread(one, rows=50).rdd.getNumPartitions() == 20
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_tool_texts_of_few_narrow_rows_are_read_by_all_tasks(spark):
+    for name in ["battery_fields", "smart_fields", "panel_fields"]:
+        assert "RoundRobinPartitioning" in plan(spark, name)
