@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custody.operators import reports
+from custody.session import spread
 
 GRAM = 3
 # Trigrams looked up for a word, and words looked up in a search: their product fits the bits of a
@@ -59,12 +60,17 @@ class SearchIndex:
         return F.pmod(F.xxhash64(gram), F.lit(self.buckets)).cast("int")
 
     def add(self, rows: DataFrame, batch: str) -> None:
-        """Index rows under a batch name; the same name again replaces the batch."""
+        """Index rows under a batch name; the same name again replaces the batch.
+
+        ``rows`` is read twice: they are counted and dealt evenly, since the texts of a whole
+        table may lie in one split.
+        """
         fields = F.array(
             *[F.struct(F.lit(c).alias("field"), trigrams(F.col(c)).alias("grams")) for c in self.text_columns]
         )
+        needed = list(dict.fromkeys([self.id_column, *self.text_columns]))
         postings = (
-            rows.where(F.col(self.id_column).isNotNull())
+            spread(rows.where(F.col(self.id_column).isNotNull()).select(*needed))
             .select(F.col(self.id_column).alias("id"), F.explode(fields).alias("f"))
             .select("f.field", F.explode("f.grams").alias("gram"), "id")
             .withColumn("bucket", self._bucket(F.col("gram")))

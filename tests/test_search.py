@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from custody.operators import reports
+from custody.plans import search_index
 from custody.plans.search_index import PROBES, WORDS, SearchIndex
+from custody.session import spread
 
 ROWS = [
     (1, "a", "Dell Latitude 5400", "note"), (2, "b", "latitude", "DELL"), (3, "a", "de ll", None), (4, None, None, None),
@@ -69,3 +71,14 @@ def test_facet_counts(spark):
     assert reports.facet_counts(rows.limit(0), ["a"]).count() == 0
     with pytest.raises(ValueError):
         reports.facet_counts(rows, [])
+
+
+def test_texts_are_dealt_before_their_trigrams_are_read(spark, tmp_path, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(search_index, "spread", lambda df: dealt.append(spread(df)) or dealt[-1])
+    spark.createDataFrame(ROWS, "id INT, kind STRING, title STRING, note STRING").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    index = SearchIndex(spark, str(tmp_path / "index"), "id", ["title", "note"], "INT", buckets=2)
+    index.add(rows, "one")
+    assert [(df.columns, df.rdd.getNumPartitions()) for df in dealt] == [(["id", "title", "note"], spark.sparkContext.defaultParallelism)]
+    assert {r.id for r in index.search(rows, "latitude").collect()} == {1, 2, 9}
