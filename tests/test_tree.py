@@ -60,6 +60,35 @@ def test_every_tree_is_unfolded_to_its_own_depth(spark):
     assert {r.d: max(r.n, 0) for r in got} == {**{d: d + 1 for d in depths}, -1: 0, -2: 0}
 
 
+def walked(doc, reverse):
+    """(id, path) of every object, parents first, as plain Python finds them."""
+    out, open_ = [], [([], doc)]
+    while open_:
+        path, node = open_.pop(0)
+        if isinstance(node, dict):
+            out.append((node.get("id"), path))
+            kids = node.get("children")
+            kids = [([*path, i], c) for i, c in enumerate(kids if isinstance(kids, list) else [])]
+            open_ = (kids[::-1] if reverse else kids) + open_
+    return out
+
+
+def test_orders_equal_a_plain_walk_at_and_beyond_the_usual_depth(spark):
+    wide = {"id": "w", "children": [{"id": str(i), "children": [3, {"id": f"{i}x"}, None, [{"id": "no"}], {"children": []}]} for i in range(12)]}
+    docs = [NESTED, wide, *[chain(tree.USUAL_DEPTH + n) for n in (-1, 0, 1, 2)], {"id": "r", "children": [chain(tree.USUAL_DEPTH + 3), 5, {"id": "z"}]}]
+    both = [F.transform(c, lambda n: F.struct(n["id"].alias("id"), n["path"].alias("path"))).alias(c) for c in ("nodes", "stack_nodes")]
+    for r in flat(spark, *docs).select("i", *both).collect():
+        assert [(n.id, n.path) for n in r.nodes] == walked(docs[r.i], False)
+        assert [(n.id, n.path) for n in r.stack_nodes] == walked(docs[r.i], True)
+
+
+def test_usual_trees_are_not_unfolded_level_by_level(spark, monkeypatch):
+    """One cast reads them; a list of children is copied out of its parent only in deeper trees."""
+    monkeypatch.setattr(V, "items_at", lambda doc, path: F.raise_error(F.lit("unfolded")).cast("array<variant>"))
+    got = flat(spark, NESTED, [{"id": "x"}], chain(tree.USUAL_DEPTH)).select(F.size("nodes").alias("n")).collect()
+    assert [r.n for r in got] == [8, 1, tree.USUAL_DEPTH + 1]
+
+
 def test_explode_nodes(spark):
     got = tree.explode_nodes(flat(spark, NESTED), "i").select("path_text", "id", "depth").collect()
     assert ("2/0/0", "b00", 3) in [tuple(r) for r in got] and len(got) == 8
