@@ -8,9 +8,13 @@
    two branches it meets in a tree of DEPTH levels with more than 0.94 at J = 0.8, and misses
    all TREES trees with about 1 in 80,000. Nodes of at most NODE classes are compared
    exhaustively, by two bits of every minwise value. Larger nodes are compared with their
-   first class; a node whose classes that joins, or links of the first levels in whatever
-   node, is finished, else it goes on, again by BRANCHES functions a level. What still is
-   large after LEVELS levels is linked to its first class unseen.
+   first class: classes of which at most _JOINED values differ from its values join its group.
+   A node whose classes that joins, or links of the first levels in whatever node, is
+   finished; else those go on, again by BRANCHES functions a level, that may be close to an
+   open class: differing values are a metric, so a class is _FAR values away at most from
+   classes close to it, and one nearer to the first class than the least open class by more
+   than that is done here. What still is large after LEVELS levels is linked to its first
+   class unseen.
 3. Links join classes into candidate groups, a superset of the true ones. In each group the
    full sets are compared exactly: a search from class to class that asks only for classes not
    reached yet. A group of more than CHUNK classes is cut into chunks, each with the group's
@@ -43,6 +47,9 @@ SALTS = 32
 # 2-bit agreement of sets at similarity J is J + (1 - J) / 4 of HASHES; five deviations are
 # left below what J = 0.8 gives, so a link is lost here once in some million.
 _FAR = HASHES - 88
+# Classes this near to the first one of a large node join its group, a superset that full sets
+# judge later; some J = 0.42, so texts that only share a stock of words seldom join.
+_JOINED = 56
 _LOW = 0x5555555555555555
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -183,22 +190,31 @@ def _salted(of_pivot: DataFrame) -> DataFrame:
     return of_pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def _near_pivot(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(pivot, rep, salt, near) of the distinct pairs of a class and the first class of a large node of it."""
+def _from_pivot(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(pivot, rep, apart, and with labelled sketches label, own) of the distinct pairs of a class and the first class of a large node of it."""
     s = ["s0", "s1", "s2", "s3"]
+    named = [c for c in ("label",) if c in sketches.columns]
     pairs = large.select("pivot", "rep").distinct().join(sketches, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    first = large.select("pivot").distinct().join(sketches, F.col("pivot") == F.col("rep")).select("pivot", *[F.col(c).alias(f"p{c}") for c in s])
+    first = sketches.select(F.col("rep").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in s], *[F.col(c).alias("own") for c in named])
+    first = first.join(large.select("pivot").distinct(), "pivot")
     apart = sum((F.bit_count((F.col(c).bitwiseXOR(F.col(f"p{c}"))).bitwiseOR(F.shiftrightunsigned(F.col(c).bitwiseXOR(F.col(f"p{c}")), 1)).bitwiseAND(F.lit(_LOW))) for c in s), F.lit(0))
-    return written(pairs.join(_salted(first), ["pivot", "salt"]).select("pivot", "rep", "salt", (apart <= _FAR).alias("near")), "pivots")
+    return written(pairs.join(_salted(first), ["pivot", "salt"]).select("pivot", "rep", apart.alias("apart"), *named, *["own" for _ in named]), "pivots")
 
 
-def _unfinished(large: DataFrame, judged: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node) of the large nodes with a class that no link has joined to the node's first class yet."""
-    of_rep = labels.select("rep", F.col("component_id").alias("label"))
-    far = judged.where("not near").join(of_rep, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    pivots = judged.select("pivot").distinct().join(labels, F.col("pivot") == F.col("rep"), "left").select("pivot", F.coalesce("component_id", "pivot").alias("own"))
-    far = far.join(_salted(pivots), ["pivot", "salt"]).where("label <> own").select("pivot", "rep")
-    return written(large.join(far, ["pivot", "rep"], "left_semi").select("node").distinct(), "unfinished")
+def _labelled(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the labels of both, for pairs that were judged before there were labels."""
+    of_rep = judged.join(labels.select("rep", F.col("component_id").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    own = judged.select("pivot").distinct().join(labels, F.col("pivot") == F.col("rep"), "left").select("pivot", F.coalesce("component_id", "pivot").alias("own"))
+    return of_rep.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(_salted(own), ["pivot", "salt"])
+
+
+def _unfinished(large: DataFrame, judged: DataFrame) -> DataFrame:
+    """(node, rep) of the large nodes with open classes, which nothing has joined to the first one: these and all that may be close to one."""
+    is_open = (F.col("apart") > _JOINED) & (F.col("label") != F.col("own"))
+    placed = large.select("node", "pivot", "rep").join(judged.select("pivot", "rep", "apart", is_open.alias("open")), ["pivot", "rep"])
+    placed = written(placed.select("node", "rep", "apart", "open"), "placed")
+    least = placed.where("open").groupBy("node").agg(F.min("apart").alias("least"))
+    return written(placed.join(least.hint("merge"), "node").where(F.col("apart") >= F.col("least") - _FAR).select("node", "rep"), "unfinished")
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:
@@ -217,16 +233,20 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
         if level + 1 == LEVELS:
             found = links.union(large.select("pivot", "rep").distinct())
             break
-        judged = _near_pivot(large, sketches)
-        found = written(links.union(judged.where("near").select("pivot", "rep")).where("a <> b").distinct(), "links")
+        judged = _from_pivot(large, sketches)
+        found = links.union(judged.where(F.col("apart") <= _JOINED).select("pivot", "rep"))
         if labels is None:
             labels = written(connected_components(found, "a", "b", "rep"), "labels")
-        still = _unfinished(large, judged, labels)
+            judged = _labelled(judged, labels)
+            named = sketches.join(labels.select("rep", F.col("component_id").alias("label")), "rep", "left")
+            sketches = written(named.withColumn("label", F.coalesce("label", "rep")), "sketches")
+            found = labels.select(F.col("component_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+        still = _unfinished(large, judged)
         if still.isEmpty():
             if level == 0:
                 return labels.withColumnRenamed("component_id", "grp")
             break
-        rows = _branched(large.join(still.hint("merge"), "node", "left_semi").join(reps, "rep").select("node", "rep", "mins"), from_node=True).distinct()
+        rows = _branched(still.join(reps, "rep").select("node", "rep", "mins"), from_node=True).distinct()
     return written(connected_components(found, "a", "b", "rep").withColumnRenamed("component_id", "grp"), "groups")
 
 
@@ -305,7 +325,7 @@ def _by_chunk(rows: DataFrame, keys: list[str], work, percent: int) -> DataFrame
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) links that span the exact components inside the candidate groups (rep, grp)."""
+    """(a, b) pairs whose components are the exact ones inside the candidate groups (rep, grp)."""
     counted = groups.join(groups.groupBy("grp").agg(F.count("*").alias("m")), "grp").select("rep", "grp", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +343,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, percent: int) ->
     first = written(first, "exact")
     if counted.where("chunks > 1").isEmpty():
         return first
-    labels = connected_components(first, "a", "b", "rep")
+    labels = written(connected_components(first, "a", "b", "rep"), "labels")
     big = written(counted.where("chunks > 1").join(labels, "rep", "left").select("rep", "grp", "chunks", F.coalesce("component_id", "rep").alias("label")), "labels")
     parts = big.groupBy("grp", "label").agg(F.count("*").alias("n"))
     hub = parts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("hub"))
@@ -336,7 +356,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, percent: int) ->
     asked = again.where("outside").select("rep", "set", "label", F.lit(True).alias("asked"), "grp", block.alias("block"), F.explode(all_chunks).alias("chunk"))
     rest = again.select("rep", "set", "label", F.lit(False).alias("asked"), "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own.alias("chunk"))
     cross = _by_chunk(asked.union(rest), ["grp", "block", "chunk"], lambda s, held, p: crossed(s, [h[2] for h in held], [h[3] for h in held], p), percent)
-    return first.union(cross)
+    return labels.select(F.col("component_id").alias("a"), F.col("rep").alias("b")).where("a <> b").union(cross)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -305,6 +305,30 @@ def test_near_duplicates(spark, monkeypatch, node, chunk):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+def test_close_classes_of_a_large_node_do_not_go_on_with_its_open_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(60)]
+    docs = []
+    for kept in [60] * 300 + [36] * 60:  # copies, and texts that share a half of the base
+        words_of = base[:kept] + [f"e{rng.randrange(10_000)}" for _ in range(60 - kept)]
+        for _ in range(rng.randrange(0, 4)):
+            words_of[rng.randrange(60)] = f"e{rng.randrange(10_000)}"
+        docs.append((len(docs), " ".join(words_of)))
+    made, branched = [], neardup._branched
+
+    def counted(rows, from_node):
+        out = branched(rows, from_node)
+        if from_node:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_branched", counted)
+    got = by_id(neardup.near_duplicates(documents(spark, docs), size=2))
+    want = brute_groups(docs, 2, 80)
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (n, c, c == i) for i, (n, c) in want.items()}
+    assert sum(made) < 5_000, made
+
+
 def test_pairs_meet_through_large_nodes():
     rng = np.random.default_rng(1)
     n = 4_000
