@@ -240,3 +240,15 @@ def test_truthiness(spark):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i INT, d STRING")
     got = [r.o for r in df.select("i", V.truthy(V.member(F.parse_json("d"), "$.v")).alias("o")).orderBy("i").collect()]
     assert got == [False, False, True, True, False, False, False, False, True]
+
+
+def test_a_collector_value_is_computed_once(spark):
+    df = spark.createDataFrame([("Device Model: x", "{}")], "t STRING, j STRING").withColumn("l", F.try_parse_json("j"))
+
+    def named(column, word):
+        return df.select(column.alias("x"))._jdf.queryExecution().analyzed().toString().count(word)
+
+    smart = tools.smart_fields("t")
+    assert named(smart, "split(") == 2  # lines, columns
+    own = F.struct(F.lit(1).cast("bigint").alias("capacity_bytes"), *[F.lit("").alias(c) for c in ["model", "serial", "overall_health", "power_on_hours", "power_cycle_count", "temperature_c"]])
+    assert named(tools.enriched_disks(F.col("l"), own), "try_variant_get(") < 10
