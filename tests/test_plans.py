@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from custody import schemas
+from custody.operators import bundles
 from custody.session import spread
 from custody.workload import catalog
 
@@ -68,3 +70,12 @@ def test_spread_deals_rows_however_many_splits_there_are(spark, tmp_path):
 def test_tool_texts_of_few_narrow_rows_are_read_by_all_tasks(spark):
     for name in ["battery_fields", "smart_fields", "panel_fields"]:
         assert "RoundRobinPartitioning" in plan(spark, name)
+
+
+def test_documents_are_not_parsed_again_by_a_filter(spark, tmp_path):
+    docs = spark.createDataFrame([("A", "A.json", "{}")], "asset_tag string, file_name string, raw string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    done = bundles.classify(spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame([], schemas.SCAN))
+    steps = done._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("parseJson" in step for step in steps)
+    assert not [step for step in steps if "Filter" in step and "parseJson" in step]
