@@ -149,3 +149,64 @@ def test_statistics_are_of_all_learning_texts(spark, monkeypatch):
     monkeypatch.setattr(mixing, "statistics", lambda texts, shape: seen.append(texts.count()) or plain(texts, shape))
     mixing.score(documents(spark, [(i, f"text {i}") for i in range(60)]), F.lit(True))
     assert seen == [60]
+
+
+def test_starting_weights_are_fitted_on_all_learning_texts(spark, monkeypatch):
+    seen, plain = [], mixing.fit
+
+    def watched(texts, shape, tables):
+        model = plain(texts, shape, tables)
+        seen.append((texts.count(), texts.select("text", "fold").distinct().count(), model))
+        return model
+
+    monkeypatch.setattr(mixing, "fit", watched)
+    mixing.score(documents(spark, [(i, f"{t} {i}") for i, t in enumerate(texts(120, 4))]), F.lit(True))
+    ((n, distinct, model),) = seen
+    assert n == distinct == 120
+    fixed = mixing._start(model.shape, model.table)
+    assert not np.allclose(model.weights, fixed.weights) and not np.allclose(model.refine, fixed.refine)
+
+
+def test_each_fold_has_the_table_of_its_own_texts(spark):
+    shape = small_model().shape
+    dealt = documents(spark, enumerate(texts(80, 6))).withColumn("fold", (F.col("doc_id") % 2).cast("int")).repartition(3)
+    tables = mixing.statistics(dealt, shape)
+    for table, own in zip(tables, (dealt, dealt.where("fold = 0"), dealt.where("fold = 1")), strict=True):
+        assert (table == mixing.statistics(own.drop("fold"), shape)).all()
+
+
+def test_tallies_hold_every_decision():
+    model = small_model()
+    streams = [mixing.stream(mixing.tokens(t.encode())) for t in texts(20, 8)]
+    data, starts = mixing.joined(streams)
+    real, symbols = mixing._coded(data, starts), model.shape.symbols(data)
+    want = np.zeros(mixing._DEPTHS * 2 * mixing._BINS ** (mixing._INPUTS - 1), np.int64)
+    want = want.reshape(mixing._DEPTHS, *[mixing._BINS] * (mixing._INPUTS - 1), 2)
+    cells = [c.tolist() for c in mixing._cells(data)]
+    for i in real.tolist():
+        for depth in range(model.shape.length[symbols[i]]):
+            node, one = model.shape.nodes[symbols[i], depth], int(model.shape.signs[symbols[i], depth] < 0)
+            bins = [math.floor(int(model.table[c[i] + node]) / 8 + 0.5) + 16 for c in cells]
+            want[min(depth, mixing._DEPTHS - 1), *reversed(bins), one] += 1
+    whole = mixing._tallied(streams, model.shape, model.table)
+    assert whole.sum() == model.shape.length[symbols[real]].sum()
+    assert (want.reshape(-1) == whole).all()
+
+
+def test_weights_are_the_most_likely_ones():
+    rng = np.random.default_rng(5)
+    inputs = rng.integers(12, 21, (40_000, mixing._INPUTS - 1))
+    true = np.array([0.9, 0.2, -0.4, 0.3])
+    p = 1 / (1 + np.exp(-((inputs - 16) / 2 @ true[:-1] + true[-1])))
+    at = (inputs * mixing._BINS ** np.arange(mixing._INPUTS - 1)).sum(1) * 2 + (rng.random(len(p)) < p)
+    tally = np.bincount(at, minlength=2 * mixing._BINS ** (mixing._INPUTS - 1)).reshape(-1, 2)
+    weights = mixing._regressed(tally, np.array([0.3, 0.3, 0.3, 0]))
+    assert np.abs(weights - true).max() < 0.05
+    assert np.abs(mixing._calibrated(tally, weights) - np.linspace(-8, 8, mixing._BUCKETS))[8:17].max() < 0.2
+
+
+def test_every_decision_is_refined():
+    model = small_model()
+    _, _, refine = mixing.mixed([b"some words that are seen again and again " * 40], model)
+    moved = (refine[0] != model.refine).any(1)
+    assert moved[: min(int(model.shape.length.min()), mixing._DEPTHS)].all() and moved.sum() > 1
